@@ -33,4 +33,21 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op4_packing, op5_secrets, op9_nearest, op10_exact_topk)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def search_sql(every: int, k: int, component: str, kind: str, more: str) -> str:
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: {component}) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 {more}
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS {kind}) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % {every} = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {k}"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_nearest": search_sql(20, 20, "CAST(x AS DOUBLE)", "DOUBLE", "AND len(list_filter(embedding, lambda x: x <> 0)) > 0"),
+    "op10_exact_topk": search_sql(100, 10, "floor(1024 * CAST(x AS DOUBLE))", "BIGINT", ""),
+}
