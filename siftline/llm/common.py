@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with: its cleaner acts when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table below the shared folder; only when no result is still to be read."""
     jvm = spark.sparkContext._jvm

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, nearest, packing, secrets, sharding, simhash
+from . import exact_topk, nearest, packing, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +41,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op9_nearest, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op7_substrings, op9_nearest, op10_exact_topk)}
 
 
 def search_sql(every: int, k: int, component: str, kind: str, more: str) -> str:
@@ -56,4 +60,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 ORACLE_SQL: dict[str, str] = {
     "op9_nearest": search_sql(20, 20, "CAST(x AS DOUBLE)", "DOUBLE", "AND len(list_filter(embedding, lambda x: x <> 0)) > 0"),
     "op10_exact_topk": search_sql(100, 10, "floor(1024 * CAST(x AS DOUBLE))", "BIGINT", ""),
+    "op7_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13),
+s AS (SELECT doc_id, i, list_aggregate(w[i:i+12], 'string_agg', ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+x AS (SELECT DISTINCT s.doc_id, unnest(range(s.i, s.i + 13)) AS i FROM s JOIN f ON s.k = f.k AND f.first < s.doc_id),
+t AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+r AS (SELECT t.doc_id, count(*) AS kept, string_agg(t.word, ' ' ORDER BY t.i) AS body FROM t ANTI JOIN x ON t.doc_id = x.doc_id AND t.i = x.i GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(r.kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.body, '')) AS kept_sha256
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id""",
 }
