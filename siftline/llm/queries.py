@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, nearest, packing, secrets, sharding, simhash, substrings
+from . import exact_topk, nearest, packing, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -41,7 +45,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op7_substrings, op9_nearest, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op7_substrings, op8_toxicity, op9_nearest, op10_exact_topk)}
 
 
 def search_sql(every: int, k: int, component: str, kind: str, more: str) -> str:
