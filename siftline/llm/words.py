@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-#: Entries of a cache; longer words are computed each time. Together they bound a cache to about 100 MB.
-ENTRIES, LONGEST = 400_000, 64
+#: Entries of one generation of a cache; longer words are computed each time. Two generations take about 250 MB at most.
+ENTRIES, LONGEST = 600_000, 64
 
 
-class WordCache(dict):
-    """word -> compute([word])[0], for many words at a time."""
+class WordCache:
+    """word -> compute([word])[0], for many words at a time. What was not asked for during a whole generation is forgotten."""
 
     def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
+        self.compute, self.young, self.old = compute, {}, {}
 
     def all(self, words: list) -> list:
         """The value of each word, in order."""
-        if missing := set(words).difference(self):
-            new = list(missing)
-            values = self.compute(new)
-            if len(self) + len(new) > ENTRIES:
-                self.clear()
-                new = list(set(words))
-                values = self.compute(new)
-            self.update(zip(new, values))
-            got = list(map(self.__getitem__, words))
-            for w in new:
-                if len(w) > LONGEST:
-                    del self[w]
-            return got
-        return list(map(self.__getitem__, words))
+        young, old = self.young, self.old
+        long = []
+        if missing := set(words).difference(young):
+            new = []
+            for w in missing:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+            young.update(zip(new, self.compute(new)))
+            long = [w for w in new if len(w) > LONGEST]
+        got = list(map(young.__getitem__, words))
+        for w in long:
+            del young[w]
+        if len(young) > ENTRIES:
+            self.old, self.young = young, {}
+        return got
 
 
 def slices(total: int, sizes: list[int], most: int):

@@ -64,3 +64,18 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_alone_have_the_ids_of_their_text():
+    import random
+
+    from siftline.llm.packing import id_bytes
+
+    rng = random.Random(0)
+    alphabet = ["'", "S", "s", "ll", "re", "D", "é", "É", "ß", "ÿ", "Ø", "×", "1", "42", "!", "...", "<|", "|>", "_", "a", "Word", "ª", "µ", "\x1f", "́", "ﬁ", "中", "İ", "<|endoftext|>"]
+    words = ["".join(rng.choices(alphabet, k=rng.randint(1, 6))).encode() for _ in range(5000)]
+    tokenizer = Tokenizer.from_file(PATH)
+    cache = id_bytes(PATH)
+    for part in (words, words[:40], words[:3000]):
+        want = tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(cache.all(part)), "<u4").tolist() == want
