@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, nearest, packing, secrets, sharding, simhash, substrings, toxicity
+from . import exact_topk, nearest, packing, pii, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op7_substrings, op8_toxicity, op9_nearest, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op6_pii, op7_substrings, op8_toxicity, op9_nearest, op10_exact_topk)}
 
 
 def search_sql(every: int, k: int, component: str, kind: str, more: str) -> str:
