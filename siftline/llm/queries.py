@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, nearest, packing, pii, secrets, sharding, simhash, substrings, toxicity
+from . import exact_topk, nearest, packing, pieces, pii, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -17,6 +17,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), and what decoding them gives: its SHA-256, and whether it is the text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    back = pieces.decode(coded, path, name="decoded")
+    return back.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +59,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_secrets, op6_pii, op7_substrings, op8_toxicity, op9_nearest, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_sharding, op4_packing, op5_secrets, op6_pii, op7_substrings, op8_toxicity, op9_nearest, op10_exact_topk)}
 
 
 def search_sql(every: int, k: int, component: str, kind: str, more: str) -> str:
