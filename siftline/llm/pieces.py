@@ -28,15 +28,24 @@ CHUNK = 8 << 20
 
 
 def suffix_array(codes: np.ndarray, longest: int) -> np.ndarray:
-    """Positions in the order of the `longest` characters from each, by prefix doubling; equal ones by position."""
-    rank = np.unique(codes, return_inverse=True)[1].astype("i8")
-    width = 1
+    """Positions in the order of at least the `longest` characters from each, by prefix doubling; equal ones by position."""
+    present = np.zeros(codes.max(initial=0) + 1, bool)
+    present[codes] = True
+    dense = np.cumsum(present)[codes]
+    # As many characters as a number holds give the first ranks.
+    bits = int(dense.max(initial=1)).bit_length()
+    width = max(1, 62 // bits)
+    padded = np.concatenate([dense, np.zeros(width, dense.dtype)])
+    key = np.zeros(len(codes), "i8")
+    for k in range(width):
+        key = key << bits | padded[k : k + len(codes)]
     while width < longest:
+        rank = np.unique(key, return_inverse=True)[1].astype("i8")
         after = np.zeros(len(rank), "i8")
         after[:-width] = rank[width:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype("i8")
+        key = rank * (len(rank) + 2) + after
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key, kind="stable")
 
 
 class Pieces:
