@@ -28,8 +28,8 @@ from .words import WordCache
 SAMPLE = 20_000
 #: Features kept; documents that have a feature at least; how sure a feature's log-odds is; lengths of starts of words.
 FEATURES, LEAST, SURE, STARTS = 20_000, 4, 3.0, (5, 6, 7)
-#: Strength of the prior in documents; what a word without a feature scores; expected count below which a segment is significant.
-PRIOR, DRIFT, SIGNIFICANT = 100.0, -0.1, 0.05
+#: Strength of the prior in documents; what a word without a feature scores; expected counts below which a segment is evidence, and below which it is shown.
+PRIOR, DRIFT, EVIDENCE, SIGNIFICANT = 100.0, -0.1, 0.2, 0.05
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -86,8 +86,8 @@ class Model:
         return [(int(first[a]), int(ends[b - 1]), s, self.rate * len(scores) * float(np.exp(-self.decay * s))) for a, b, s in segments(steps.tolist())]
 
     def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
-        """Sum over significant segments of how many times rarer than the limit each is, as a logarithm."""
-        return sum(float(np.log(SIGNIFICANT / max(e, 1e-30))) for *_, e in found if e < SIGNIFICANT)
+        """Sum over segments of how many times rarer than the limit each is, as a logarithm."""
+        return sum(float(np.log(EVIDENCE / max(e, 1e-30))) for *_, e in found if e < EVIDENCE)
 
     def score(self, evidence: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * np.log1p(evidence), -30, 30))))
