@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: A cell is what one task ranks: at least this many rows, and at most about 1 / CELLS of all rows.
 CELL_ROWS = 64
 CELLS = 1 << 16
+#: Rows with texts that a Python worker is sent at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, after making sure that the session sends Python no more than so many rows at a time: documents are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

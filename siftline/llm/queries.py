@@ -20,9 +20,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), and what decoding them gives: its SHA-256, and whether it is the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    back = pieces.decode(coded, path, name="decoded")
-    return back.select(
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, back="decoded")
+    return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
     )
 

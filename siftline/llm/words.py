@@ -9,8 +9,8 @@ ENTRIES, LONGEST = 600_000, 64
 class WordCache:
     """word -> compute([word])[0], for many words at a time. What was not asked for during a whole generation is forgotten."""
 
-    def __init__(self, compute):
-        self.compute, self.young, self.old = compute, {}, {}
+    def __init__(self, compute, entries: int = ENTRIES):
+        self.compute, self.entries, self.young, self.old = compute, entries, {}, {}
 
     def all(self, words: list) -> list:
         """The value of each word, in order."""
@@ -28,7 +28,7 @@ class WordCache:
         got = list(map(young.__getitem__, words))
         for w in long:
             del young[w]
-        if len(young) > ENTRIES:
+        if len(young) > self.entries:
             self.old, self.young = young, {}
         return got
 

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from siftline.llm.pieces import Pieces, decode, encode, pieces, suffix_array, words_of
+from siftline.llm.pieces import Pieces, decode, encode, packed, pieces, suffix_array, words_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -36,14 +36,18 @@ def test_words_match_the_library(model):
 
 def test_suffix_array():
     codes = np.array([3, 1, 3, 1, 2, 0, 3], "i4")
-    assert suffix_array(codes, 8).tolist() == sorted(range(7), key=lambda i: codes[i:].tolist())
+    key, _, _, width = packed(codes, 2)
+    assert width == 2 and suffix_array(key, width, 8).tolist() == sorted(range(7), key=lambda i: codes[i:].tolist())
 
 
 def test_tables(spark, model):
     rows = [(i, t, "x") for i, t in enumerate([None, "", *texts()[:300], "word " * 40_000, "x" * 30_000])] + [(3, "again", "x"), (3, "again", "x"), (None, "k", "x")]
     coded = encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH)
     assert coded.columns == ["doc_id", "text", "ids"]
+    both = encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH, back="back")
+    assert both.columns == ["doc_id", "text", "ids", "back"]
     got = decode(coded, PATH, name="back").collect()
+    assert sorted(map(str, got)) == sorted(map(str, both.collect()))
     assert len(got) == len(rows)
     for r in got:
         want = model.encode(r.text or "", num_threads=1)
