@@ -7,6 +7,8 @@ each finding only once; that depends on what was taken before, so one pass over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,12 +133,24 @@ def correlate(findings: DataFrame, rules: RuleSet, now: float) -> DataFrame:
     ready = with_masks(in_order(meta.with_meta(findings)), rules)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in part.sort_values("ord").to_dict("records"):
-            r |= {k: "" for k in META if r[k] is None}
-            rows.append(r | {"tags": [], "correlated": [], "lang": "", "own_lang": r["lang"]})
-        kept = fold(rows, rules, now)
-        return pd.DataFrame([{n: r[n] for n in names} | {"lang": r["own_lang"], "seq": i} for i, r in enumerate(kept)], columns=names)
-
-    return ready.groupBy("file").applyInPandas(run, SCHEMA)
+    def folded(rows: list[dict]) -> list[dict]:
+        for r in rows:
+            r |= {k: "" for k in META if r[k] is None} | {"tags": [], "correlated": [], "own_lang": r["lang"], "lang": ""}
+        return [{n: r[n] for n in names} | {"lang": r["own_lang"], "seq": i} for i, r in enumerate(fold(rows, rules, now))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for batch in batches:
+            done = []
+            for r in batch.to_dict("records"):
+                if held and held[0]["file"] != r["file"]:
+                    done += folded(held)
+                    held = []
+                held.append(r)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if held:
+            yield pd.DataFrame(folded(held), columns=names)
+
+    # The windows have brought each file's findings into one partition.
+    return ready.sortWithinPartitions("file", "ord").mapInPandas(run, SCHEMA)

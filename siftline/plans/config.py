@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
@@ -128,9 +130,13 @@ def entries(x: object) -> list:
     return [] if x is None else x if isinstance(x, list) else [x]
 
 
-def checked(source: str, env: ex.Env, where: str) -> str:
+def checked(source: str, env: Callable[[], ex.Env], where: str) -> str:
+    """Types are checked by building columns, which needs a running session; without one only the words are read."""
     try:
-        ex.compile_bool(source, env)
+        if SparkContext._active_spark_context is None:
+            ex.tokens(source)
+        else:
+            ex.compile_bool(source, env())
     except (ex.ExpressionError, PatternError) as e:
         raise ConfigError(f"{where}: {e}") from e
     return source
@@ -175,7 +181,7 @@ def of_filter(x: object) -> Filter | None:
         raise ConfigError(f"filter {source!r}: unknown action {action!r}")
     if action == "tag" and not id_.strip():
         raise ConfigError(f"filter {source!r}: a tag requires an id")
-    return Filter(checked(source, ex.finding_env(F.col), f"filter {source!r}"), action, id_)
+    return Filter(checked(source, lambda: ex.finding_env(F.col), f"filter {source!r}"), action, id_)
 
 
 def of_matcher(x: object, where: str) -> Matcher:
@@ -185,7 +191,7 @@ def of_matcher(x: object, where: str) -> Matcher:
     if m.expression.strip():
         if given:
             raise ConfigError(f"{where}: an expression goes without patterns")
-        checked(m.expression, ex.finding_env(F.col), where)
+        checked(m.expression, lambda: ex.finding_env(F.col), where)
     elif not given:
         raise ConfigError(f"{where}: no pattern")
     for p in given:
@@ -202,7 +208,7 @@ def of_correlation(x: dict) -> Correlation:
         raise ConfigError(f"{where}: an id or tag is required")
     if when.strip():
         prev = lambda n: F.col("prev")[n]
-        return Correlation(id_, tag, when=checked(when, ex.pair_env(F.col, prev), where))
+        return Correlation(id_, tag, when=checked(when, lambda: ex.pair_env(F.col, prev), where))
     match = of_matcher(x.get("match"), where)
     partners = tuple(of_matcher(p, where) for p in entries(x.get("partners")))
     if not partners:
@@ -217,7 +223,7 @@ def of_info(x: object) -> tuple[str, str] | None:
         return None
     if not id_.strip():
         raise ConfigError(f"info {source!r}: an id is required")
-    return id_, checked(source, ex.name_value_env(F.col("name"), F.col("value")), f"info {id_}")
+    return id_, checked(source, lambda: ex.name_value_env(F.col("name"), F.col("value")), f"info {id_}")
 
 
 def compile_config(x: dict | None, stopwords: tuple[str, ...] = ()) -> RuleSet:
