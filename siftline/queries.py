@@ -237,6 +237,18 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_lines(document_lines(spark, sf_dir)).select("doc_id", "line", "name", "value_sha256", "entropy", "reason")
 
 
+@query(SQL_SCAN)
+def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings from a stream of the documents' files; a glob, as a stream takes no single file."""
+    from .streaming.scan import arriving, drained
+
+    def scan(df: DataFrame) -> DataFrame:
+        lines = df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "body")).select("doc_id", (F.col("i") + 1).alias("line"), "body")
+        return scan_lines(lines).select("doc_id", "line", "name", "value_sha256", "entropy", "reason")
+
+    return drained(arriving(spark, f"{sf_dir}/documents.parque[t]", "doc_id long, text string"), scan)
+
+
 @query(f"""WITH f AS ({SQL_SCAN}) SELECT d.source, f.reason, count(*) AS n, count(DISTINCT f.value_sha256) AS n_values, grouping(d.source) AS g FROM f JOIN documents d ON f.doc_id = d.doc_id GROUP BY CUBE (d.source, f.reason) HAVING grouping(f.reason) = 0""")
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by source and reason, with totals over sources."""
