@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize
-from .words import WordCache, slices
+from .common import bounded_batches, gapless_rank, materialize
+from .words import WordCache, slices, sole
 
 CAPACITY, END_ID = 4096, 1
 #: Bytes of text that are tokenised at a time.
@@ -72,7 +72,7 @@ def id_bytes(path: str) -> WordCache:
             return out
 
         _caches[path] = WordCache(compute)
-    return _caches[path]
+    return sole(_caches[path])
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool, text: str, key: str) -> DataFrame:
@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     are cut. Repeated rows and null keys are packed as rows of their own. Every row of a table counts; an
     empty table gives no rows; other columns are ignored.
     """
-    pieces = materialize(pieces_of(docs, path, capacity, end_id, with_ids, text, key), "pieces")
+    pieces = materialize(pieces_of(bounded_batches(docs), path, capacity, end_id, with_ids, text, key), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     runs, _ = pack_counts(counts, capacity)
     # One sorted number finds a run: the length above, the rank below.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .words import WordCache, slices
+from .words import WordCache, slices, sole
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids", ba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = pieces(path)
-        cache = loaded.cache
+        cache = sole(loaded.cache)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for a, b in slices(batch.num_rows, pc.binary_length(texts).fill_null(0).to_pylist(), CHUNK):

@@ -22,31 +22,28 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from .common import materialize, release
-from .words import WordCache
+from .common import bounded_batches, materialize
 
 SIZE, GRAM = 13, 3
 #: Occurrences of a super-k-mer that a map task lists; more go by the join.
 LISTED = 8
 #: Bytes of super-k-mers that a map task combines at a time, and that a bucket should hold; the fewest buckets.
-FLUSH, BUCKET, BUCKETS = 32 << 20, 12 << 20, 512
+FLUSH, BUCKET, BUCKETS = 24 << 20, 12 << 20, 512
 #: Occurrences in one packed row of those that go by the join.
 PACKED = 4096
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes = WordCache(lambda words: [xxh64_intdigest(w) for w in words])
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))
 
 
-def super_kmers(words: list[bytes], hashes: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, end window and minimiser of each run of windows that share a minimiser."""
-    h, gram = np.array(hashes, "u8"), min(GRAM, size)
+    h, gram = np.fromiter(map(xxh64_intdigest, words), "u8", len(words)), min(GRAM, size)
     n = len(h)
     grams = np.zeros(n - gram + 1, "u8")
     for k in range(gram):
@@ -65,8 +62,8 @@ class Combiner:
         self.size, self.buckets, self.held = size, np.uint64(buckets), 0
         self.found: dict[bytes, list] = {}
 
-    def add(self, doc: int, words: list[bytes], hashes: list[int]) -> None:
-        first, end, least = super_kmers(words, hashes, self.size)
+    def add(self, doc: int, words: list[bytes]) -> None:
+        first, end, least = super_kmers(words, self.size)
         # Where each word starts in the joined text.
         at = np.r_[0, np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)]
         joined = b" ".join(words)
@@ -171,8 +168,10 @@ def bucket_of(blobs: list[bytes], size: int) -> pa.Table:
         docs, starts = np.frombuffer(raw, "<i8", flat, 24 + 4 * n), np.frombuffer(raw, "<i4", flat, 24 + 4 * n + 8 * flat)
         strings = raw[24 + 4 * n + 12 * flat :].split(b"\n")
         words = raw[24 + 4 * n + 12 * flat :].replace(b"\n", b" ").split(b" ")
-        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "i4", len(words)))
-        lengths.append(np.fromiter((s.count(b" ") + 1 for s in strings), "i8", n))
+        new = set(words).difference(number)
+        number.update(zip(new, range(len(number), len(number) + len(new))))
+        ids.append(np.fromiter(map(number.__getitem__, words), "i4", len(words)))
+        lengths.append(np.fromiter((s.count(b" ") for s in strings), "i8", n) + 1)
         begins = np.cumsum(np.maximum(counts, 1)) - np.maximum(counts, 1)
         least.append(np.minimum.reduceat(docs, begins))
         most = np.maximum.reduceat(docs, begins)
@@ -216,7 +215,7 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, text: str = "text", key:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = (body.as_py() or "").encode().split()
                 if len(words) >= size:
-                    combiner.add(doc, words, _hashes.all(words))
+                    combiner.add(doc, words)
                     if combiner.held > FLUSH:
                         yield out()
         if combiner.found:
@@ -224,7 +223,6 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, text: str = "text", key:
 
     sent = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text)).mapInArrow(send, "bucket long, blob binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(lambda t: bucket_of(t["blob"].to_pylist(), size), "kind byte, doc long, a int, b int, super binary, least binary"), "passages")
-    release(docs.sparkSession)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +246,7 @@ def kept_runs(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_ranges(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    found = repeated_ranges(docs, size, text, key).select(F.col(key).alias("_key"), F.col("ranges").alias("_ranges"))
+    found = repeated_ranges(bounded_batches(docs), size, text, key).select(F.col(key).alias("_key"), F.col("ranges").alias("_ranges"))
     return docs.join(found, docs[key].cast("long") == found["_key"], "left").drop("_key")
 
 

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .words import WordCache
+from .common import bounded_batches, materialize
+from .words import WordCache, sole
 
 SAMPLE = 20_000
+#: Words of one generation of the cache.
+ENTRIES = 200_000
 #: Features kept; documents that have a feature at least; how sure a feature's log-odds is; lengths of starts of words.
 FEATURES, LEAST, SURE, STARTS = 20_000, 4, 3.0, (5, 6, 7)
 #: Strength of the prior in documents; what a word without a feature scores; expected counts below which a segment is evidence, and below which it is shown.
@@ -172,10 +174,11 @@ def solve_decay(values: np.ndarray, shares: np.ndarray) -> float:
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The kept columns with n (words), top (best segment's score), spread (score -> words), evidence, score, and passages (start, end, score, expected) in code points."""
+    bounded_batches(docs)
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(lambda words: list(map(model.word, words)))
+        cache = sole(WordCache(lambda words: list(map(model.word, words)), ENTRIES))
         passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n", "top", "spread", "evidence", "score", "passages")}

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-#: Entries of one generation of a cache; longer words are computed each time. Two generations take about 250 MB at most.
-ENTRIES, LONGEST = 600_000, 64
+#: Entries of one generation of a cache; longer words are computed each time. Two generations take about 150 MB at most.
+ENTRIES, LONGEST = 400_000, 64
+
+_current: list = []
+
+
+def sole(cache: WordCache) -> WordCache:
+    """The cache, after emptying the one that the same worker used before, if another: a worker serves stage after stage."""
+    if not _current or _current[0] is not cache:
+        for other in _current:
+            other.young, other.old = {}, {}
+        _current[:] = [cache]
+    return cache
 
 
 class WordCache:
