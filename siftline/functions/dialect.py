@@ -14,6 +14,7 @@ NO_EDGE = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
 SPACE = r"\t\n\f\r "
 FLAGS = re.compile(r"\(\?(?P<on>[imsU]*)(?:-(?P<off>[imsU]+))?(?P<end>[:)])")
 NAMED = re.compile(r"\(\?P?<(?P<name>\w+)>")
+CLASS = re.compile(r"\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]", re.S)
 POSIX = re.compile(r"\[:(?P<no>\^?)(?P<name>[a-z]+):\]")
 #: POSIX classes in Java.
 CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
@@ -93,3 +94,66 @@ def to_java(pattern: str) -> str:
     if re.search(r"(?:^|\(|\|)[*+?](?!\?)", re.sub(r"\\.|\[(?:\\.|[^\]])*\]|\(\?[^)>:]*[:)>]", "x", pattern)):
         raise PatternError(f"nothing to repeat: {pattern!r}")
     return "".join(out)
+
+
+def pieces_of(pattern: str) -> list[str]:
+    """Characters, escapes, classes and marks of a pattern, one by one."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            n = 4 if pattern[i + 1 : i + 2] == "x" else 2
+        elif pattern[i] == "[":
+            n = CLASS.match(pattern, i).end() - i
+        elif pattern[i] == "{":
+            n = pattern.index("}", i) + 1 - i
+        elif m := re.compile(r"\((?:\?(?:P?<\w+>|[imsU-]*[:)]))?").match(pattern, i):
+            n = m.end() - i
+        else:
+            n = 1
+        out.append(pattern[i : i + n])
+        i += n
+    return out
+
+
+def is_optional(piece: str) -> bool:
+    return piece in ("*", "?") or re.match(r"\{0?,|\{0\}", piece) is not None
+
+
+def opened(pieces: list[str]) -> list[str]:
+    """Without the brackets of groups that occur once and have one branch; other groups, and repeats, are a break."""
+    out, i = [], 0
+    while i < len(pieces):
+        x = pieces[i]
+        if x.startswith("(") and not x.endswith(")"):
+            depth, end, branches = 1, i + 1, False
+            while depth:
+                y = pieces[end]
+                depth += (y.startswith("(") and not y.endswith(")")) - (y == ")")
+                branches |= depth == 1 and y == "|"
+                end += 1
+            after = pieces[end] if end < len(pieces) else ""
+            once = not branches and not is_optional(after) and after != "+" and not after.startswith("{")
+            out += opened(pieces[i + 1 : end - 1]) if once else [""]
+            i = end
+        else:
+            out.append(x)
+            i += 1
+    return out
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text, in lower case, that every match contains, or an empty string if none of three characters is sure."""
+    pieces = opened(pieces_of(pattern))
+    if "|" in pieces:
+        return ""
+    runs = [""]
+    for x, after in zip(pieces, [*pieces[1:], ""]):
+        literal = x[1] if len(x) == 2 and x[0] == "\\" and not x[1].isalnum() else x if len(x) == 1 and x not in ".^$*+?|)" else ""
+        if x.startswith("(?"):
+            continue
+        if literal and not is_optional(after):
+            runs[-1] += literal
+        if not literal or is_optional(after) or after == "+" or after.startswith("{"):
+            runs.append("")
+    best = max(runs, key=len)
+    return best.lower() if len(best) >= 3 else ""

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text, urls
-from .dialect import to_java
+from .dialect import required_literal, to_java
 
 #: Words that wrap an echoed name in a placeholder.
 FILLERS = (
@@ -83,19 +83,35 @@ def name_signals(name: Column, patterns: list[str], ignore: list[str]) -> Column
     return matches(name, patterns) & ~matches(name, ignore)
 
 
-def first_pattern(value: Column, patterns: list[tuple[str, str, list[str]]]) -> Column:
-    """The id of the first (id, pattern, allowed) whose pattern is found and no allowed one is; null without any.
+Patterns = list[tuple[str, str, list[str]]]
 
-    Chunks keep each expression small enough to compile.
+
+def low(value: Column) -> Column:
+    """Lower case as pattern matching folds it."""
+    return F.translate(F.lower(value), "ſ", "s")
+
+
+def literal_table(patterns: Patterns) -> tuple[Column, list[int]]:
+    """(order, id, literal, pattern) of those that have a sure literal, as one constant; places of the others.
+
+    A table keeps the plan small, and a literal's absence, which is cheap to see, spares the pattern.
     """
-    chunks = [patterns[i : i + 20] for i in range(0, len(patterns), 20)]
+    guarded = [(i, x) for i, x in enumerate(patterns) if required_literal(x[1]) and not x[2]]
+    rows = [F.struct(F.lit(i).alias("order"), F.lit(id_).alias("id"), F.lit(required_literal(p)).alias("literal"), F.lit(to_java(p)).alias("pattern")) for i, (id_, p, _) in guarded]
+    none = "array<struct<order:int,id:string,literal:string,pattern:string>>"
+    return (F.array(*rows) if rows else F.array().cast(none)), [i for i in range(len(patterns)) if i not in {k for k, _ in guarded}]
+
+
+def table_hits(value: Column, table: Column) -> Column:
+    """The entries of a literal table whose pattern is found, in order."""
+    return text.let(low(value), lambda v: F.filter(table, lambda p: F.contains(v, p["literal"]) & F.rlike(value, p["pattern"])))
 
-    def chunk(part: list[tuple[str, str, list[str]]]) -> Column:
-        case = None
-        for id_, pattern, allow in part:
-            hit = value.rlike(to_java(pattern))
-            hit = hit & ~matches(value, allow) if allow else hit
-            case = F.when(hit, id_) if case is None else case.when(hit, id_)
-        return case
 
-    return F.coalesce(*map(chunk, chunks)) if chunks else F.lit(None).cast("string")
+def first_pattern(value: Column, patterns: Patterns) -> Column:
+    """The id of the first (id, pattern, allowed) whose pattern is found and no allowed one is; null without any."""
+    table, rest = literal_table(patterns)
+    found = table_hits(value, table)
+    hit = lambda i: value.rlike(to_java(patterns[i][1])) & (~matches(value, patterns[i][2]) if patterns[i][2] else F.lit(True))
+    first = [F.when(hit(i), F.struct(F.lit(i).alias("order"), F.lit(patterns[i][0]).alias("id"))) for i in rest]
+    guarded = F.try_element_at(F.transform(found, lambda p: F.struct(p["order"].alias("order"), p["id"].alias("id"))), F.lit(1))
+    return (F.least(guarded, *first) if first else guarded)["id"]

@@ -10,17 +10,25 @@ from ..functions.dialect import to_java
 from ..plans import patterns
 
 
-def tokens_in(comment: Column) -> Column:
-    """Array of (offset, order, id, token); of equal tokens the first pattern's, where it first occurs."""
-    none = F.array().cast("array<struct<token:string,order:int,id:string>>")
+def without(tokens: Column, allow: list[str]) -> Column:
+    return F.filter(tokens, lambda x: ~p.matches(x["token"], allow))
 
-    def of(order: int, id_: str, pattern: str, allow: list[str]) -> Column:
-        java = to_java(pattern)
-        found = F.transform(F.regexp_extract_all(comment, F.lit(java), F.lit(0)), lambda t: F.struct(t.alias("token"), F.lit(order).alias("order"), F.lit(id_).alias("id")))
-        kept = F.filter(found, lambda x: ~p.matches(x["token"], allow)) if allow else found
-        return F.when(comment.rlike(java), kept).otherwise(none)
 
-    every = F.flatten(F.array(*[of(i, *x) for i, x in enumerate(patterns.VALUE_PATTERNS)]))
+def tokens_in(comment: Column) -> Column:
+    """Array of (offset, order, id, token); of equal tokens the first pattern's, where it first occurs."""
+    table, rest = p.literal_table(patterns.VALUE_PATTERNS)
+
+    def tokens(pattern: Column, order: Column, id_: Column) -> Column:
+        found = F.regexp_extract_all(comment, pattern, F.lit(0))
+        return F.transform(found, lambda t: F.struct(t.alias("token"), order.alias("order"), id_.alias("id")))
+
+    known = p.table_hits(comment, table)
+    parts = [F.flatten(F.transform(known, lambda x: tokens(x["pattern"], x["order"], x["id"])))]
+    for i in rest:
+        id_, pattern, allow = patterns.VALUE_PATTERNS[i]
+        own = tokens(F.lit(to_java(pattern)), F.lit(i), F.lit(id_))
+        parts.append(without(own, allow) if allow else own)
+    every = F.concat(*parts)
     return F.transform(every, lambda x: F.struct((F.instr(comment, x["token"]) - 1).alias("offset"), x["order"].alias("order"), x["id"].alias("id"), x["token"].alias("token")))
 
 

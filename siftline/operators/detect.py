@@ -5,7 +5,8 @@ A candidate has a kind that says which tests hold for it:
   value    only its shape counts, first by first: identifiers, known patterns, detectors, entropy, hosts
   reason   a value that is a secret by itself, under a name that signals nothing to any rule
   env      like named, for the default of an environment lookup
-  arg      a string under a telling name, one word that passes the gates
+  arg      like named, for an argument of a call, if it is one word
+  default  like env, for what a lookup falls back to by an operator, if it is one word
   comment  a known pattern found in a comment
 """
 
@@ -31,8 +32,8 @@ FINDING = ["level", "name_path", "value_path", "name", "value", "raw_value", "va
 LONGEST_TOKEN = 200
 
 
-def likely(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tuple[str, ...]) -> Column:
-    """Whether a value under a telling name passes the gates. Cheap tests come first."""
+def likely(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tuple[str, ...], shape: Column | None = None) -> Column:
+    """Whether a value under a telling name passes the gates. Cheap tests come first. shape: what classify says of the value, if that is known."""
     v = text.trim(value)
     tests = (v != "") & ~p.echoes_name(name, v)
     if rule.max_similarity > 0:
@@ -40,7 +41,7 @@ def likely(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tup
     plain = ~p.placeholder(v, lang) & ~text.natural_language(v) & (F.octet_length(v) >= rule.min_length)
     if rule.min_entropy > 0:
         plain = plain & (text.entropy(text.normalize(v)) >= rule.min_entropy)
-    return tests & ((p.classify(v) != "") | (plain & ~p.stopword(v, list(stopwords))))
+    return tests & (((p.classify(v) if shape is None else shape) != "") | (plain & ~p.stopword(v, list(stopwords))))
 
 
 def skipped(value: Column, lang: Column, rule: Rule) -> Column:
@@ -51,15 +52,18 @@ def signals(name: Column, rule: Rule) -> Column:
     return p.name_signals(name, list(rule.name_patterns), list(rule.ignore_names))
 
 
-def named_reason(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tuple[str, ...], default: str, gate: Callable | None = None) -> Column:
-    """The reason under one rule, or null."""
-    passes = (gate or likely)(name, value, lang, rule, stopwords)
-    shape = p.classify(value)
-    return F.when(signals(name, rule) & ~skipped(value, lang, rule), F.when(shape != "", shape).when(passes, default))
+#: Kinds whose name has to signal a secret, and the reason where the value's shape gives none.
+NAMED = {"named": "name_indicates_secret", "env": "env_fallback_literal", "arg": "name_indicates_secret", "default": "env_fallback_literal"}
+ONE_WORD = ("arg", "default")
 
 
-def arg_gate(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tuple[str, ...]) -> Column:
-    return ~value.rlike(text.BLANK) & likely(name, value, lang, rule, stopwords)
+def named_reason(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tuple[str, ...], kind: Column) -> Column:
+    """The reason under one rule, or null."""
+    default = F.element_at(F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv]), kind)
+    blank = kind.isin(*ONE_WORD) & value.rlike("[ \\t\\r\\n]")
+    gate = lambda shape: ~blank & likely(name, value, lang, rule, stopwords, shape)
+    reason = text.let(p.classify(value), lambda shape: F.when(shape != "", shape).when(gate(shape), default))
+    return F.when(signals(name, rule) & ~skipped(value, lang, rule), reason)
 
 
 def suppressed(value: Column, rules: tuple[Rule, ...]) -> Column:
@@ -125,15 +129,11 @@ def findings(candidates: DataFrame, rules: RuleSet) -> DataFrame:
     """candidates: kind, rule, name, value, lang, name_path, value_path and whatever says where; findings keep that."""
     name, value, lang, kind = (F.col(c) for c in ("name", "value", "lang", "kind"))
     normal = text.normalize(value)
-    words = rules.stopwords
     reason = (
-        F.when(kind == "named", by_rule(lambda r: named_reason(name, value, lang, r, words, "name_indicates_secret"), rules.rules))
+        F.when(kind.isin(*NAMED), by_rule(lambda r: named_reason(name, value, lang, r, rules.stopwords, kind), rules.rules))
         .when(kind == "value", value_reason(name, normal, rules))
-        .when(kind == "env", by_rule(lambda r: named_reason(name, value, lang, r, words, "env_fallback_literal"), rules.rules))
-        .when(kind == "arg", by_rule(lambda r: named_reason(name, value, lang, r, words, "name_indicates_secret", arg_gate), rules.rules))
-        .when(kind == "default", by_rule(lambda r: named_reason(name, value, lang, r, words, "env_fallback_literal", arg_gate), rules.rules))
         .when(kind == "comment", F.when(~suppressed(normal, rules.rules), F.concat(F.lit("sig:"), F.col("found"))))
-        .when(kind == "reason", F.when((normal != "") & ~p.any_of([signals(name, r) for r in rules.rules]) & ~suppressed(normal, rules.rules) & (p.classify(normal) != ""), p.classify(normal)))
+        .when(kind == "reason", F.when((normal != "") & ~p.any_of([signals(name, r) for r in rules.rules]) & ~suppressed(normal, rules.rules), F.nullif(p.classify(normal), F.lit(""))))
     )
     raw = F.when(kind.isin("value", "reason"), normal).otherwise(value)
     rows = candidates.withColumn("reason", reason).where(F.col("reason").isNotNull()).withColumn("raw_value", raw).drop("value")

@@ -237,7 +237,7 @@ def jsonish_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_lines(lines: DataFrame) -> DataFrame:
     """Findings of telling names over lines of text, without any Python: explode, extract, classify."""
     kv = jsonish(lines).withColumns({"kind": F.lit("named"), "rule": F.lit(0), "lang": F.lit("json"), "name_path": F.lit("jsonish_key"), "value_path": F.lit("jsonish_value"), "found": F.lit(None).cast("string")})
-    reason = detect.named_reason(F.col("name"), F.col("value"), F.col("lang"), RULE, (), "name_indicates_secret")
+    reason = detect.named_reason(F.col("name"), F.col("value"), F.col("lang"), RULE, (), F.lit("named"))
     rows = kv.withColumn("reason", reason).where(F.col("reason").isNotNull()).withColumnRenamed("value", "raw_value")
     return detect.finding_columns(rows)
 

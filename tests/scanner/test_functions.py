@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import predicates, text, urls
-from siftline.functions.dialect import PatternError, to_java
+from siftline.functions.dialect import PatternError, required_literal, to_java
 from siftline.functions.expressions import ExpressionError, compile_bool, finding_env, name_value_env
 from siftline.plans.patterns import HOSTS, VALUE_PATTERNS
 
@@ -118,3 +118,11 @@ def test_connection_and_keys(spark):
     values = ["Server=x;Password=1;User Id=2", "password only", "-----begin rsa private key-----", "eyJx", "Bearer eyJx", "aeyJ"]
     assert column(spark, values, predicates.classify) == ["connection_string_secret_indicator", "", "private_key_indicator", "jwt_indicator", "jwt_indicator", ""]
     assert re.compile("x")
+
+
+def test_required_literals():
+    cases = {r"\bghp_[0-9]{36}\b": "ghp_", "(?i)\\b[a-z0-9]+\\.fly\\.dev\\b": ".fly.dev", r"abc|def": "", "ab?cde*f": "cd", r"x[[:alnum:]]yz_w": "yz_w", "(?:AK|AS)IA": "", r"AGE-SECRET-KEY-1[A]{58}": "age-secret-key-1", "abcd{0,2}": "abc", "abcd+ef": "abcd", r"\x60abc": "abc", "[]a]bcd": "bcd"}
+    for pattern, want in cases.items():
+        assert required_literal(pattern) == (want if len(want) >= 3 else ""), pattern
+    rest = [i for i, p, _ in VALUE_PATTERNS if not required_literal(p)]
+    assert len(rest) <= 25 and sum(not required_literal(p) for _, p in HOSTS) <= 2, rest
