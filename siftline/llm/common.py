@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ CELL_ROWS = 64
 CELLS = 1 << 16
 #: Rows with texts that a Python worker is sent at a time.
 BATCH_ROWS = 1000
+_scopes: list[list[tuple[DataFrame, str]]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,19 +47,51 @@ def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: whatever executor is lost later, nothing before this point runs again.
-    The tables stay until drop_scratch() or whoever owns the shared folder removes them.
+    This cuts the lineage: whatever executor is lost later, nothing before this point runs again, so the shuffle
+    files behind it go as soon as it is written. The tables stay until drop_scratch() or whoever owns the shared
+    folder removes them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/siftline/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done with: its cleaner acts when their objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((back, path))
+    return back
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove, at the end, the tables that were written within, but for those given to keep().
+
+    What is returned from such a block must read kept tables alone. After an error all stay, for whoever looks.
+    """
+    kept: set[int] = set()
+    outer, _scopes[:] = list(_scopes), [*_scopes, []]
+    own = _scopes[-1]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    try:
+        yield keep
+        fs = None
+        for df, path in own:
+            if id(df) in kept:
+                if outer:
+                    outer[-1].append((df, path))
+                continue
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            fs = fs or target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(target, True)
+    finally:
+        _scopes[:] = outer
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_scope
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node reaches; edges: (a, b), in one direction at least.
+    """(node, label, old): the smallest node that each node reaches; edges: (a, b), in one direction at least.
 
     Each round a node takes the smallest label among its own, its neighbours' and its label's label, so
     labels cross long chains in few rounds. Every round is written to the shared folder. A label with very
     many nodes is the skewed side of a join whose other side has one row for it, which Spark can split.
     """
+    with scratch_scope(edges.sparkSession) as keep:
+        return keep(rounds(edges))
+
+
+def rounds(edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label")), "labels")
     while True:
@@ -24,5 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("_node"), F.col("label").alias("_up"))
         labels = materialize(step.join(up, F.col("label") == F.col("_node")).select("node", "old", F.least("label", "_up").alias("label")), "labels")
         if labels.where("old <> label").limit(1).count() == 0:
-            return labels.select("node", "label")
+            return labels
         labels = labels.drop("old")

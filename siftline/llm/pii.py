@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_scope
 
 KEY = "siftline"
 ROUNDS = 4
@@ -188,6 +188,11 @@ def entities_of(text: Column) -> Column:
 
 def tweaks(docs: DataFrame, secret: str, text: str) -> DataFrame:
     """(kind, core, tweak) of the entities that need a tweak: all surrogates are distinct, and none is an entity of the table."""
+    with scratch_scope(docs.sparkSession) as keep:
+        return keep(materialize(resolved(docs, secret, text), "tweaks"))
+
+
+def resolved(docs: DataFrame, secret: str, text: str) -> DataFrame:
     every = docs.select(F.explode(entities_of(F.col(text))).alias("e")).select("e.kind", "e.core").distinct()
     every = materialize(every, "entities")
     entities = every.select("kind", F.col("core").alias("new"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_scope
 from .components import components
 from .fingerprints import add_fingerprint
 
@@ -160,12 +160,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     like any other, and is the component_id only where every key of the component is null. Repeated rows come
     back as often. Texts of any length are read whole. Other columns are ignored; an empty table gives no rows.
     """
-    rows = materialize(add_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    fps = materialize(fps, "distinct")
-    label = components(links(fps.select("fp"), radius))
-    of = fps.join(label, fps["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    of = materialize(of, "roots")
-    least = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    with scratch_scope(docs.sparkSession) as keep:
+        rows = keep(materialize(add_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words), "fingerprints"))
+        fps = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+        label = components(links(fps.select("fp"), radius))
+        of = keep(materialize(fps.join(label, fps["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root")), "roots"))
+        least = keep(materialize(of.groupBy("root").agg(F.min("least").alias("component_id")), "least"))
     classes = of.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")

@@ -28,7 +28,7 @@ SIZE, GRAM = 13, 3
 #: Occurrences of a super-k-mer that a map task lists; more go by the join.
 LISTED = 8
 #: Bytes of super-k-mers that a map task combines at a time, and that a bucket should hold; the fewest buckets.
-FLUSH, BUCKET, BUCKETS = 24 << 20, 12 << 20, 512
+FLUSH, BUCKET, BUCKETS = 12 << 20, 8 << 20, 512
 #: Occurrences in one packed row of those that go by the join.
 PACKED = 4096
 

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, scratch_scope
 from .words import WordCache, sole
 
 SAMPLE = 20_000
 #: Words of one generation of the cache.
-ENTRIES = 200_000
+ENTRIES = 120_000
 #: Features kept; documents that have a feature at least; how sure a feature's log-odds is; lengths of starts of words.
 FEATURES, LEAST, SURE, STARTS = 20_000, 4, 3.0, (5, 6, 7)
 #: Strength of the prior in documents; what a word without a feature scores; expected counts below which a segment is evidence, and below which it is shown.
@@ -129,6 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     and 1 are left out; of several labels of one id the largest counts. Without rows of both classes every text
     scores the share of label 1, or 0 where there is none.
     """
+    with scratch_scope(docs.sparkSession):
+        return learn(docs, labels, sample)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` ids and labels are broadcast.

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-#: Entries of one generation of a cache; longer words are computed each time. Two generations take about 150 MB at most.
-ENTRIES, LONGEST = 400_000, 64
+#: Entries of one generation of a cache; longer words are computed each time. Two generations take about 90 MB at most.
+ENTRIES, LONGEST = 220_000, 64
 
 _current: list = []
 
