@@ -3,7 +3,8 @@
 Addresses and numbers pass through a keyed Feistel network over their own characters: digits stay digits,
 letters stay letters of their case and script, separators stay. For one key that is a permutation of all
 entities of a shape, so one entity has one surrogate everywhere and two never share one, without any lookup.
-Names come from lists by gender and script, where two may meet. A check over all distinct entities of the table
+Names come from lists by gender for Latin and Cyrillic, where two may meet, and pass through the network in other
+scripts. Addresses that stay in the way tweak after tweak, as all of a short shape may be taken, grow. A check over all distinct entities of the table
 finds surrogates that two share, or that are entities themselves; these take the next tweak of the key, until
 none is left. The few entities with a tweak are then known to every row.
 """
@@ -11,6 +12,9 @@ none is left. The few entities with a tweak are then known to every row.
 from __future__ import annotations
 
 import json
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
@@ -42,7 +46,37 @@ ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|{TITLE} \p{{Lu}}"
 
 #: Characters that may stand for each other.
-ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäåæçèéêëìíîïñòóôöùúûü", "абвгдежзиклмнопрстуфхцчшщэюя"]
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäåæçèéêëìíîïñòóôöùúûü", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+#: Ideographs and Hangul syllables, by code point.
+RANGES = [(0x4E00, 0x9FFC), (0xAC00, 0xD7A3), (0x3400, 0x4DBF), (0x20000, 0x2A6DD), (0x2A700, 0x2B734), (0x2B740, 0x2B81D), (0x2B820, 0x2CEA1), (0x2CEB0, 0x2EBE0), (0x30000, 0x3134A)]
+#: Every fourth tweak makes an address longer by a letter.
+GROWS = 4
+
+
+def other_letters() -> tuple[str, list[int]]:
+    """All other letters and numbers, alphabet after alphabet, and where (from 1) each starts, with the end.
+
+    An alphabet is of one script, one category, and of letters that come back from upper case or not. What
+    Unicode 3.2 does not know has alphabets of its own, so that later versions leave the others as they are.
+    """
+    alphabets: dict[tuple, list[str]] = defaultdict(list)
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        category = unicodedata.category(c)
+        if category[0] not in "LN" or any(c in x for x in ALPHABETS) or any(a <= ord(c) <= b for a, b in RANGES):
+            continue
+        script = unicodedata.name(c, "").replace("-", " ").split(" ")[0]
+        old = unicodedata.ucd_3_2_0.category(c) != "Cn"
+        alphabets[not old, script, category, c.upper() != c and len(c.upper()) == 1 and c.upper().lower() == c].append(c)
+    # What is alone in its alphabet forms one with the others that are.
+    alone = [x[0] for x in alphabets.values() if len(x) == 1]
+    several = [x for _, x in sorted(alphabets.items(), key=lambda kv: (kv[0][0], kv[1][0])) if len(x) > 1] + [alone]
+    starts = [1]
+    for x in several:
+        starts.append(starts[-1] + len(x))
+    return "".join(c for x in several for c in x), starts
+
+
+LETTERS, STARTS = other_letters()
 #: Names by script, given names by gender.
 NAMES = {
     "latin": {
@@ -86,14 +120,42 @@ def byte_at(hexed: Column, i: Column) -> Column:
     return F.conv(F.substring(hexed, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def shifted(text: Column, hexed: Column) -> Column:
-    """Each character moved along its alphabet by the stream's byte."""
+def moved_within(alphabet: str, at: Column, by: Column) -> Column:
+    return F.substring(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))
+
+
+def moved_beyond(c: Column, by: Column) -> Column:
+    """A character of none of ALPHABETS moved within its own; what is no letter or number stays."""
+    def ranged(point: Column) -> Column:
+        new = F.lit(None).cast("long")
+        for a, b in RANGES:
+            new = F.when(point.between(a, b), F.pmod(point - a + by, F.lit(b - a + 1)) + a).otherwise(new)
+        return let(new, lambda n: F.when(n.isNull(), c).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+    starts = F.from_json(F.lit(json.dumps(STARTS)), "array<int>")
+
+    def listed(at: Column) -> Column:
+        nth = F.size(F.filter(starts, lambda s: s <= at))
+        first = F.element_at(starts, nth)
+        return let(first, lambda a: F.substring(F.lit(LETTERS), (a + F.pmod(at - a + by, F.element_at(starts, nth + 1) - a)).cast("int"), F.lit(1)))
+
+    is_ranged = reduce(lambda x, y: x | y, (F.ascii(c).between(a, b) for a, b in RANGES))
+    return F.when(is_ranged, let(F.ascii(c).cast("long"), ranged)).otherwise(let(F.instr(F.lit(LETTERS), c), lambda at: F.when(at > 0, listed(at)).otherwise(c)))
+
+
+def shifted(text: Column, hexed: Column, letters: bool = True) -> Column:
+    """Each character moved along its alphabet by the stream's byte, or two where it may be long; without `letters` only digits."""
     def move(c: Column, i: Column, h: Column) -> Column:
-        out = c
-        for letters in ALPHABETS:
-            at = F.instr(F.lit(letters), c)
-            out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + byte_at(h, i), F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-        return out
+        def listed(alphabets: list[str], rest: Column) -> Column:
+            for x in reversed(alphabets):
+                at = F.instr(F.lit(x), c)
+                rest = F.when(at > 0, moved_within(x, at, byte_at(h, i))).otherwise(rest)
+            return rest
+
+        if not letters:
+            return listed(ALPHABETS[:1], c)
+        far = listed(ALPHABETS[2:], moved_beyond(c, byte_at(h, i) * 256 + byte_at(h, i + 1)))
+        return F.when(c < F.lit("\x80"), listed(ALPHABETS[:2], c)).otherwise(far)
 
     # The stream is worked out once, not for each character.
     return F.when(text == "", text).otherwise(let(hexed, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(c, i, h)), "")))
@@ -103,14 +165,23 @@ def permuted(text: Column, key: Column, salt: str) -> Column:
     """A keyed permutation of the texts of one shape: a Feistel network over two halves."""
     half = F.floor(F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+    letters = salt in ("local", "host", "name")
 
     def step(s: Column, i: Column) -> Column:
-        first = shifted(s["a"], stream(key, salt, F.concat(i.cast("string"), F.lit("a"), s["b"])))
-        return let(first, lambda a: F.struct(a.alias("a"), shifted(s["b"], stream(key, salt, F.concat(i.cast("string"), F.lit("b"), a))).alias("b")))
+        first = shifted(s["a"], stream(key, salt, F.concat(i.cast("string"), F.lit("a"), s["b"])), letters)
+        return let(first, lambda a: F.struct(a.alias("a"), shifted(s["b"], stream(key, salt, F.concat(i.cast("string"), F.lit("b"), a)), letters).alias("b")))
 
     return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), state, step, lambda s: F.concat(s["a"], s["b"]))
 
 
+def cased(entity: Column, core: Column) -> Column:
+    """core with capitals where the entity, of the same length, has them; a letter that would not come back from its capital stays."""
+    def capital(c: Column) -> Column:
+        return F.when(F.lower(F.upper(c)) == c, F.upper(c)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c != F.lower(c), capital(F.substring(core, i + 1, F.lit(1)))).otherwise(F.substring(core, i + 1, F.lit(1)))), "")
+
+
 def luhn_digit(digits: Column) -> Column:
     """The check digit that belongs after these digits."""
     doubled = F.lit("0246813579")
@@ -133,8 +204,14 @@ def permuted_octets(ip: Column, key: Column) -> Column:
 
 
 def new_name(core: Column, key: Column, tweak: Column) -> Column:
-    """As many words as the name has, by gender and script; each tweak joins one more surname, so there are always enough."""
-    return let(stream(key, "name", core), lambda hexed: picked_name(core, hexed, tweak))
+    """As many words as the name has, by gender and script; each tweak joins one more surname, so there are always enough.
+
+    Without lists for its script a name's own letters are permuted, and each tweak joins such a name once more.
+    """
+    gender, name = F.substring_index(core, "|", 1), F.substring_index(core, "|", -1)
+    own = F.transform(F.sequence(F.lit(0), tweak), lambda i: cased(name, permuted(F.lower(name), F.concat_ws("|", key, gender, i.cast("string")), "name")))
+    listed = let(stream(key, "name", core), lambda hexed: picked_name(core, hexed, tweak))
+    return F.when(name.rlike(r"[\p{IsLatin}\p{IsCyrillic}]"), listed).otherwise(F.concat(gender, F.lit("|"), F.array_join(own, "-")))
 
 
 def picked_name(core: Column, hexed: Column, tweak: Column) -> Column:
@@ -158,8 +235,11 @@ def surrogate(kind: Column, core: Column, tweak: Column, secret: str) -> Column:
     local, domain = F.substring_index(core, "@", 1), F.substring_index(core, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+    # What has nothing to move, and what has met others for several tweaks, needs more letters.
+    n_more = F.floor(tweak / GROWS).cast("int") + F.when(F.concat(local, host).rlike(r"[\p{L}\p{N}]"), 0).otherwise(1)
+    more = shifted(F.repeat(F.lit("a"), n_more), stream(key, "more", core))
     # The people of one domain keep a common one.
-    email = F.concat(permuted(local, F.concat(key, F.lit("|"), domain), "local"), F.lit("@"), permuted(host, key, "host"), F.lit("."), top)
+    email = F.concat(permuted(local, F.concat(key, F.lit("|"), domain), "local"), more, F.lit("@"), permuted(host, key, "host"), F.lit("."), top)
     code = F.regexp_extract(core, r"^\+(?:1|7|[0-9]{2})", 0)
     phone = F.concat(code, permuted(F.substring(core, F.length(code) + 1, F.length(core)), F.concat(key, code), "phone"))
     # The issuer's digit stays, and so does whether, and by how much, the check digit is off.
@@ -171,8 +251,7 @@ def surrogate(kind: Column, core: Column, tweak: Column, secret: str) -> Column:
 
 def formatted(kind: Column, entity: Column, core: Column) -> Column:
     """A core in the shape of the entity that it replaces."""
-    cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(core, i + 1, F.lit(1)))).otherwise(F.substring(core, i + 1, F.lit(1)))), "")
-    email = F.when(F.length(entity) == F.length(core), cased).otherwise(core)
+    email = F.when(F.length(entity) == F.length(core), cased(entity, core)).otherwise(core)
     digits = F.regexp_replace(core, "[^0-9]", "")
     dealt = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(entity, rf"^{TITLE} ", 0)

@@ -1,7 +1,9 @@
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.llm import pii
 from siftline.llm.pii import replace_personal_data, tweaks
@@ -82,5 +84,45 @@ def test_clashes_are_resolved(spark, monkeypatch, limit):
     assert got[0] == got[3] and len(set(got)) == 5 and "Frau Adler" not in got
 
 
+SCRIPTS = {
+    "cjk": ("张三丰@公司企业.中国", r"[\u4e00-\u9ffc]{3}@[\u4e00-\u9ffc]{4}\.中国"),
+    "cjk prose": ("谢谢@小明.明天见", r"[\u4e00-\u9ffc]{2}@[\u4e00-\u9ffc]{2}\.明天见"),
+    "beyond 16 bits": ("𠀀𠀁@𠮷野.中国", r"[\U00020000-\U0002a6dd]{2}@[\U00020000-\U0002a6dd][\u4e00-\u9ffc]\.中国"),
+    "greek": ("Γδ@δέλτα.ελ", r"[Α-Ω][α-ω]@[α-ω][ά-ώἀ-ῷ][α-ω]{3}\.ελ"),
+    "cyrillic": ("Подъёмный.ключ@ёлкаый.рф", r"[А-ЯЁ][а-яё]{8}\.[а-яё]{4}@[а-яё]{6}\.рф"),
+    "hangul": ("홍길동@회사회사.한국", r"[가-힣]{3}@[가-힣]{4}\.한국"),
+    "arabic": ("محمد@مثالمثال.مصر", r"\w{4}@\w{8}\.مصر"),
+    "digits": ("٠١٢٣٤@दफतर.कम", r"[٠-٩]{5}@[\u0904-\u097f]{4}\.कम"),
+    "latin": ("Żółć.ßẞþ@øýãő.pl", r"\w{4}\.\w{3}@\w{4}\.pl"),
+    "nothing to move": ("_@-.com", r"_[a-z]+@-\.com"),
+    "greek name": ("Dr Γιώργος Σεφέρης", r"Dr [Α-Ω]\w{6} [Α-Ω]\w{6}"),
+    "armenian name": ("Mr Արամ", r"Mr [Ա-Ֆ][ա-ֆ]{3}"),
+}
+
+
+def test_scripts(spark):
+    got = [r.text for r in run(spark, [t for t, _ in SCRIPTS.values()])]
+    for (name, (text, shape)), new in zip(SCRIPTS.items(), got):
+        assert re.fullmatch(shape, new), (name, text, new)
+        assert not any(a == b for a, b in zip(text.split(".")[0], new.split(".")[0]) if a.isalpha() and name == "cjk"), (name, new)
+        assert new != text
+
+
+def test_letters_move_within_their_alphabet(spark):
+    texts = [f"{c * 3}q@x.com" for x in (pii.LETTERS[::37], "".join(chr(a) + chr(b) for a, b in pii.RANGES)) for c in x if c.lower() == c]
+    frame = spark.createDataFrame([(t[0], t) for t in texts], "c string, text string")
+    moved = frame.select("c", pii.shifted(F.col("c"), F.sha2("text", 256)).alias("new")).collect()
+    known = set(pii.LETTERS) | {chr(p) for a, b in pii.RANGES for p in range(a, b + 1)}
+    assert len(moved) == len(texts) and all(len(r.new) == 1 and r.new in known for r in moved)
+    assert sum(r.c != r.new for r in moved) > 0.8 * len(moved)
+    assert all(unicodedata.category(r.c) == unicodedata.category(r.new) for r in moved if r.c not in pii.LETTERS[pii.STARTS[-2] - 1 :])
+
+
+def test_crowded_shape(spark):
+    texts = [f"{a}@{b}.com" for a in "0123456789" for b in "0123456789"]
+    got = [r.text for r in run(spark, texts)]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+
+
 def test_empty(spark):
     assert replace_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
