@@ -49,7 +49,7 @@ HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|{TITLE} \p{{Lu}}"
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäåæçèéêëìíîïñòóôöùúûü", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 #: Ideographs and Hangul syllables, by code point.
 RANGES = [(0x4E00, 0x9FFC), (0xAC00, 0xD7A3), (0x3400, 0x4DBF), (0x20000, 0x2A6DD), (0x2A700, 0x2B734), (0x2B740, 0x2B81D), (0x2B820, 0x2CEA1), (0x2CEB0, 0x2EBE0), (0x30000, 0x3134A)]
-#: Every fourth tweak makes an address longer by a letter.
+#: Every fourth tweak makes an address longer by a character.
 GROWS = 4
 
 
@@ -124,27 +124,29 @@ def moved_within(alphabet: str, at: Column, by: Column) -> Column:
     return F.substring(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))
 
 
-def moved_beyond(c: Column, by: Column) -> Column:
+def other_table() -> Column:
+    """LETTERS and STARTS. They are long, so that a plan should hold them once."""
+    return F.struct(F.lit(LETTERS).alias("letters"), F.from_json(F.lit(json.dumps(STARTS)), "array<int>").alias("starts"))
+
+
+def moved_beyond(c: Column, by: Column, table: Column) -> Column:
     """A character of none of ALPHABETS moved within its own; what is no letter or number stays."""
-    def ranged(point: Column) -> Column:
+    def moved(point: Column) -> Column:
         new = F.lit(None).cast("long")
         for a, b in RANGES:
             new = F.when(point.between(a, b), F.pmod(point - a + by, F.lit(b - a + 1)) + a).otherwise(new)
-        return let(new, lambda n: F.when(n.isNull(), c).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
-
-    starts = F.from_json(F.lit(json.dumps(STARTS)), "array<int>")
+        elsewhere = let(F.instr(table["letters"], c), lambda at: F.when(at > 0, listed(at)).otherwise(c))
+        return let(new, lambda n: F.when(n.isNull(), elsewhere).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
     def listed(at: Column) -> Column:
-        nth = F.size(F.filter(starts, lambda s: s <= at))
-        first = F.element_at(starts, nth)
-        return let(first, lambda a: F.substring(F.lit(LETTERS), (a + F.pmod(at - a + by, F.element_at(starts, nth + 1) - a)).cast("int"), F.lit(1)))
+        nth = F.size(F.filter(table["starts"], lambda s: s <= at))
+        return let(nth, lambda n: let(F.element_at(table["starts"], n), lambda a: F.substring(table["letters"], (a + F.pmod(at - a + by, F.element_at(table["starts"], n + 1) - a)).cast("int"), F.lit(1))))
 
-    is_ranged = reduce(lambda x, y: x | y, (F.ascii(c).between(a, b) for a, b in RANGES))
-    return F.when(is_ranged, let(F.ascii(c).cast("long"), ranged)).otherwise(let(F.instr(F.lit(LETTERS), c), lambda at: F.when(at > 0, listed(at)).otherwise(c)))
+    return let(F.ascii(c).cast("long"), moved)
 
 
-def shifted(text: Column, hexed: Column, letters: bool = True) -> Column:
-    """Each character moved along its alphabet by the stream's byte, or two where it may be long; without `letters` only digits."""
+def shifted(text: Column, hexed: Column, table: Column | None) -> Column:
+    """Each character moved along its alphabet by the stream's byte, or two where it may be long; without a table only digits."""
     def move(c: Column, i: Column, h: Column) -> Column:
         def listed(alphabets: list[str], rest: Column) -> Column:
             for x in reversed(alphabets):
@@ -152,26 +154,26 @@ def shifted(text: Column, hexed: Column, letters: bool = True) -> Column:
                 rest = F.when(at > 0, moved_within(x, at, byte_at(h, i))).otherwise(rest)
             return rest
 
-        if not letters:
+        if table is None:
             return listed(ALPHABETS[:1], c)
-        far = listed(ALPHABETS[2:], moved_beyond(c, byte_at(h, i) * 256 + byte_at(h, i + 1)))
+        far = listed(ALPHABETS[2:], moved_beyond(c, byte_at(h, i) * 256 + byte_at(h, i + 1), table))
         return F.when(c < F.lit("\x80"), listed(ALPHABETS[:2], c)).otherwise(far)
 
     # The stream is worked out once, not for each character.
     return F.when(text == "", text).otherwise(let(hexed, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(c, i, h)), "")))
 
 
-def permuted(text: Column, key: Column, salt: str) -> Column:
+def permuted(text: Column, key: Column, salt: str, table: Column | None = None) -> Column:
     """A keyed permutation of the texts of one shape: a Feistel network over two halves."""
     half = F.floor(F.length(text) / 2).cast("int")
+    # The half that moves next comes first, so that the expression holds shifted() once.
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    letters = salt in ("local", "host", "name")
 
-    def step(s: Column, i: Column) -> Column:
-        first = shifted(s["a"], stream(key, salt, F.concat(i.cast("string"), F.lit("a"), s["b"])), letters)
-        return let(first, lambda a: F.struct(a.alias("a"), shifted(s["b"], stream(key, salt, F.concat(i.cast("string"), F.lit("b"), a)), letters).alias("b")))
+    def step(s: Column, turn: Column) -> Column:
+        moved = shifted(s["a"], stream(key, salt, F.concat(turn, s["b"])), table)
+        return F.struct(s["b"].alias("a"), moved.alias("b"))
 
-    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), state, step, lambda s: F.concat(s["a"], s["b"]))
+    return F.aggregate(F.array(*[F.lit(f"{i}{side}") for i in range(ROUNDS) for side in "ab"]), state, step, lambda s: F.concat(s["a"], s["b"]))
 
 
 def cased(entity: Column, core: Column) -> Column:
@@ -203,13 +205,13 @@ def permuted_octets(ip: Column, key: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), state, step, lambda s: F.array_join(F.transform(F.concat(s["a"], s["b"]), lambda o: o.cast("string")), "."))
 
 
-def new_name(core: Column, key: Column, tweak: Column) -> Column:
+def new_name(core: Column, key: Column, tweak: Column, table: Column) -> Column:
     """As many words as the name has, by gender and script; each tweak joins one more surname, so there are always enough.
 
     Without lists for its script a name's own letters are permuted, and each tweak joins such a name once more.
     """
     gender, name = F.substring_index(core, "|", 1), F.substring_index(core, "|", -1)
-    own = F.transform(F.sequence(F.lit(0), tweak), lambda i: cased(name, permuted(F.lower(name), F.concat_ws("|", key, gender, i.cast("string")), "name")))
+    own = F.transform(F.sequence(F.lit(0), tweak), lambda i: cased(name, permuted(F.lower(name), F.concat_ws("|", key, gender, i.cast("string")), "name", table)))
     listed = let(stream(key, "name", core), lambda hexed: picked_name(core, hexed, tweak))
     return F.when(name.rlike(r"[\p{IsLatin}\p{IsCyrillic}]"), listed).otherwise(F.concat(gender, F.lit("|"), F.array_join(own, "-")))
 
@@ -231,22 +233,26 @@ def picked_name(core: Column, hexed: Column, tweak: Column) -> Column:
 
 def surrogate(kind: Column, core: Column, tweak: Column, secret: str) -> Column:
     """The core of the replacement."""
+    return let(other_table(), lambda table: surrogate_by(kind, core, tweak, secret, table))
+
+
+def surrogate_by(kind: Column, core: Column, tweak: Column, secret: str, table: Column) -> Column:
     key = F.concat_ws("|", F.lit(secret), kind, tweak.cast("string"))
     local, domain = F.substring_index(core, "@", 1), F.substring_index(core, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    # What has nothing to move, and what has met others for several tweaks, needs more letters.
+    # What has nothing to move, and what has met others for several tweaks, needs more characters.
     n_more = F.floor(tweak / GROWS).cast("int") + F.when(F.concat(local, host).rlike(r"[\p{L}\p{N}]"), 0).otherwise(1)
-    more = shifted(F.repeat(F.lit("a"), n_more), stream(key, "more", core))
+    more = F.substring(stream(key, "more", core), F.lit(1), n_more)
     # The people of one domain keep a common one.
-    email = F.concat(permuted(local, F.concat(key, F.lit("|"), domain), "local"), more, F.lit("@"), permuted(host, key, "host"), F.lit("."), top)
+    email = F.concat(permuted(local, F.concat(key, F.lit("|"), domain), "local", table), more, F.lit("@"), permuted(host, key, "host", table), F.lit("."), top)
     code = F.regexp_extract(core, r"^\+(?:1|7|[0-9]{2})", 0)
     phone = F.concat(code, permuted(F.substring(core, F.length(code) + 1, F.length(core)), F.concat(key, code), "phone"))
     # The issuer's digit stays, and so does whether, and by how much, the check digit is off.
     issuer, rest = F.substring(core, 1, 1), F.substring(core, F.lit(2), F.length(core) - 2)
     off = F.pmod(F.substring(core, -1, 1).cast("int") - luhn_digit(F.concat(issuer, rest)), F.lit(10))
     card = let(F.concat(issuer, permuted(rest, F.concat(key, issuer), "card")), lambda b: F.concat(b, F.pmod(luhn_digit(b) + off, F.lit(10)).cast("string")))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", permuted_octets(core, key)).when(kind == "ssn", permuted(core, key, "ssn")).otherwise(new_name(core, key, tweak))
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", permuted_octets(core, key)).when(kind == "ssn", permuted(core, key, "ssn")).otherwise(new_name(core, key, tweak, table))
 
 
 def formatted(kind: Column, entity: Column, core: Column) -> Column:

@@ -94,7 +94,7 @@ SCRIPTS = {
     "arabic": ("محمد@مثالمثال.مصر", r"\w{4}@\w{8}\.مصر"),
     "digits": ("٠١٢٣٤@दफतर.कम", r"[٠-٩]{5}@[\u0904-\u097f]{4}\.कम"),
     "latin": ("Żółć.ßẞþ@øýãő.pl", r"\w{4}\.\w{3}@\w{4}\.pl"),
-    "nothing to move": ("_@-.com", r"_[a-z]+@-\.com"),
+    "nothing to move": ("_@-.com", r"_[0-9a-f]+@-\.com"),
     "greek name": ("Dr Γιώργος Σεφέρης", r"Dr [Α-Ω]\w{6} [Α-Ω]\w{6}"),
     "armenian name": ("Mr Արամ", r"Mr [Ա-Ֆ][ա-ֆ]{3}"),
 }
@@ -111,7 +111,7 @@ def test_scripts(spark):
 def test_letters_move_within_their_alphabet(spark):
     texts = [f"{c * 3}q@x.com" for x in (pii.LETTERS[::37], "".join(chr(a) + chr(b) for a, b in pii.RANGES)) for c in x if c.lower() == c]
     frame = spark.createDataFrame([(t[0], t) for t in texts], "c string, text string")
-    moved = frame.select("c", pii.shifted(F.col("c"), F.sha2("text", 256)).alias("new")).collect()
+    moved = frame.select("c", pii.shifted(F.col("c"), F.sha2("text", 256), pii.other_table()).alias("new")).collect()
     known = set(pii.LETTERS) | {chr(p) for a, b in pii.RANGES for p in range(a, b + 1)}
     assert len(moved) == len(texts) and all(len(r.new) == 1 and r.new in known for r in moved)
     assert sum(r.c != r.new for r in moved) > 0.8 * len(moved)
