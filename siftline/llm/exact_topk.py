@@ -13,13 +13,23 @@ SCALE = 1024
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: in double precision where no sum can pass 2 ** 53, else in 64-bit integers."""
+    """Integer inner products: in double precision where no sum can pass 2 ** 53, else in 64-bit integers, or in unbounded ones that then have to fit."""
     most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
-    return (a @ b.T).astype("int64") if most < 2.0**53 else a.astype("int64") @ b.astype("int64").T
+    if most < 2.0**53:
+        return (a @ b.T).astype("int64")
+    if most < 2.0**62:
+        return a.astype("int64") @ b.astype("int64").T
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    exact = whole(a) @ whole(b).T
+    if exact.size and max(-exact.min() - 1, exact.max()) >= 2**63:
+        raise OverflowError("an inner product does not fit 64 bits")
+    return exact.astype("int64")
 
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q, c, out = np.floor(SCALE * queries), np.floor(SCALE * matrix), []
+    if not (np.isfinite(q).all() and np.isfinite(c).all()):
+        raise OverflowError("a component does not fit a double after scaling")
     for a in range(0, len(q), STEP):
         scores = products(q[a : a + STEP], c)
         scores[ids == query_ids[a : a + STEP, None]] = np.iinfo("int64").min
@@ -49,7 +59,7 @@ def exact_topk(vectors: DataFrame, k: int = 10, queries: Column | None = None, *
     A component x counts as floor(1024 x). Null ids and vectors that are null, empty or hold a null or
     non-finite component take no part; zero vectors do. Rows that repeat an id count once, with the smallest
     of their vectors; ties go to the smaller id; fewer than k candidates are all returned; vectors meet those
-    of their own length. Scores have to fit 64 bits. Other columns are ignored.
+    of their own length. A score that does not fit 64 bits is an error. Other columns are ignored.
     """
     queries = F.col("id") % 100 == 0 if queries is None else queries
     return search(vectors, queries, k, tile, merge, "long", **how)

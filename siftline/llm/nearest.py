@@ -30,10 +30,14 @@ def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows in double precision, components added in order."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+    """Inner products of rows in double precision, components added in order; in a wider format where that overflows, so that a result is infinite at worst."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            total += a[:, j] * b[:, j]
+        beyond = ~np.isfinite(total)
+        if beyond.any():
+            total[beyond] = (a[beyond].astype(np.longdouble) * b[beyond].astype(np.longdouble)).sum(axis=1).astype("float64")
     return total
 
 
@@ -54,13 +58,17 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np
     dim, out = matrix.shape[1], []
     for a in range(0, len(queries), STEP):
         b = slice(a, a + STEP)
-        about = integer_products(q[b], c) * q_scale[b, None] * c_scale
-        bound = 0.5 * (q_sum[b, None] * c_scale + q_scale[b, None] * c_sum) + 0.25 * dim * q_scale[b, None] * c_scale
-        bound = bound * 1.000001 + 1e-9 * np.abs(about) + 1e-300
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = integer_products(q[b], c) * q_scale[b, None] * c_scale
+            bound = 0.5 * (q_sum[b, None] * c_scale + q_scale[b, None] * c_sum) + 0.25 * dim * q_scale[b, None] * c_scale
+            bound = bound * 1.000001 + 1e-9 * np.abs(about) + 1e-300
+            # What overflows has no bounds, so it survives.
+            low, high = np.nan_to_num(about - bound, nan=-np.inf, neginf=-np.inf), np.nan_to_num(about + bound, nan=np.inf, posinf=np.inf)
+        low[~np.isfinite(high)] = -np.inf
         # The query's own row may be among the best, hence k + 1.
         if about.shape[1] > k + 1:
-            least = np.partition(about - bound, -(k + 1), axis=1)[:, -(k + 1)]
-            row, column = np.nonzero(about + bound >= least[:, None])
+            least = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)]
+            row, column = np.nonzero(high >= least[:, None])
         else:
             row, column = (x.ravel() for x in np.indices(about.shape))
         scores = dot(queries[b][row], own[column])

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from siftline.llm.exact_topk import exact_topk
+from siftline.llm.exact_topk import exact_topk, products
 from siftline.llm.nearest import dot, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
@@ -50,3 +50,15 @@ def test_exact(spark, size):
 @pytest.mark.parametrize("search", [nearest, exact_topk])
 def test_empty(spark, search):
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_overflow_is_defined(spark):
+    big = [(i, [1e200 if i % 3 else -1e200, 1e200 * (i % 2), 1.0 * i]) for i in range(40)]
+    got = nearest(spark.createDataFrame(big, "vec_id long, embedding array<double>"), k=5).collect()
+    assert len(got) == 10 and all(r.score == math.inf for r in got)
+    best = sorted(i for i, v in big if i and sum(int(a) * int(b) for a, b in zip(v, big[0][1])) > 2**1024)[:5]
+    assert [r.vec_id for r in sorted(got) if r.query_id == 0] == best
+    a = np.array([[2.0**40, -(2.0**31)]])
+    assert products(a, np.array([[2.0**22, 2.0**31], [1.0, 2.0]])).tolist() == [[0, 2**40 - 2**32]]
+    with pytest.raises(OverflowError):
+        products(a, np.array([[2.0**40, 0.0]]))
