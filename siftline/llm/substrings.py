@@ -246,8 +246,10 @@ def kept_runs(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_ranges(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """_row, a struct of all columns, so that none can clash, and _ranges."""
     found = repeated_ranges(bounded_batches(docs), size, text, key).select(F.col(key).alias("_key"), F.col("ranges").alias("_ranges"))
-    return docs.join(found, docs[key].cast("long") == found["_key"], "left").drop("_key")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(found, "_key", "left").select("_row", "_ranges")
 
 
 def pairs(ranges: pa.Array) -> list[list[tuple[int, int]]]:
@@ -264,16 +266,17 @@ def removal_report(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, removed, digests = [], [], []
-            for body, ranges in zip(batch.column(1), pairs(batch.column(2))):
+            keys, bodies = batch.column(0).flatten()
+            for body, ranges in zip(bodies, pairs(batch.column(1))):
                 words = (body.as_py() or "").encode().split()
                 kept = [w for a, b in kept_runs(len(words), ranges) for w in words[a:b]] if ranges else words
                 count.append(len(words))
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
     rows = with_ranges(docs.select(key, text), size, text, key)
-    return rows.select(key, text, "_ranges").mapInArrow(report, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(report, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -285,14 +288,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for body, ranges in zip(batch.column(batch.schema.get_field_index(text)), pairs(batch.column(batch.num_columns - 1))):
+            texts, columns = [], batch.column(0).flatten()
+            for body, ranges in zip(columns[names.index(text)], pairs(batch.column(1))):
                 body = body.as_py()
                 if ranges:
                     spans = [m.span() for m in SPACE.finditer(body)]
                     body = " ".join(body[spans[a][0] : spans[b - 1][1]] for a, b in kept_runs(len(spans), ranges))
                 texts.append(body)
-            columns = list(batch.columns[:-1])
             columns[names.index(text)] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -73,3 +73,12 @@ def test_equal_hashes_are_told_apart(monkeypatch):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert removal_report(empty).count() == 0 and remove_repeats(empty).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_ranges", "_key", "_row", "doc", "a", "b", "ranges"]
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, body, *names), (2, body, *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = remove_repeats(frame).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [body, ""] and all(r[n] == n for r in got for n in names)
