@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bounded_batches, materialize, scratch_scope
 from .words import WordCache, slices, sole
@@ -295,7 +294,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
     bounded_batches(docs)
     # Copies are of one fold, by their least shingle, so that no document is scored by its own copies.
     rows = materialize(fingerprinted(rows.select("text", "toxic", F.lit(0).alias("fold"))), "labelled")
-    alike = F.greatest(F.count("*").over(Window.partitionBy("least")), F.count("*").over(Window.partitionBy("greatest")))
+    # At most `sample` counts of each kind are broadcast.
+    for end in ("least", "greatest"):
+        rows = rows.join(F.broadcast(rows.groupBy(end).agg(F.count("*").alias(f"n_{end}"))), end)
+    alike = F.greatest("n_least", "n_greatest")
     train = materialize(rows.select("text", "toxic", F.pmod(F.xxhash64("least"), F.lit(FOLDS)).cast("int").alias("fold"), (1 / alike).alias("vote")), "votes")
     docs_by = np.zeros((FOLDS, 2))
     for r in train.groupBy("fold", "toxic").agg(F.sum("vote").alias("n")).collect():
