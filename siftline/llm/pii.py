@@ -3,8 +3,9 @@
 Addresses and numbers pass through a keyed Feistel network over their own characters: digits stay digits,
 letters stay letters of their case and script, separators stay. For one key that is a permutation of all
 entities of a shape, so one entity has one surrogate everywhere and two never share one, without any lookup.
-Names come from lists by gender for Latin and Cyrillic, where two may meet, and pass through the network in other
-scripts. Addresses that stay in the way tweak after tweak, as all of a short shape may be taken, grow. A check over all distinct entities of the table
+A name is a title, given names and a surname. Each word has a surrogate of its own, so a person keeps one under
+every title and a family its surname. For Latin and Cyrillic they come from lists, given names by gender, and two
+may meet; words of other scripts pass through the network. Addresses that stay in the way tweak after tweak, as all of a short shape may be taken, grow. A check over all distinct entities of the table
 finds surrogates that two share, or that are entities themselves; these take the next tweak of the key, until
 none is left. The few entities with a tweak are then known to every row.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch_scope
 
-KEY = "siftline"
 ROUNDS = 4
 #: Up to so many tweaked entities travel with the plan; more are joined to the texts that hold them.
 TWEAKED = 10_000
@@ -31,15 +31,17 @@ TWEAKED = 10_000
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Honorifics by gender ("" where it is unknown).
 HONORIFICS = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"], "": ["Dr", "Prof"]}
+#: Endings of given names that count as feminine where no title tells.
+FEMININE = "(?:a|ie|ine|ette|elle|а|я|α|η)$"
 TITLE = rf"(?:{'|'.join(x for xs in HONORIFICS.values() for x in xs)})\.?"
-#: In order of precedence at one place; the first that matches a whole entity is its type.
+#: In order of precedence at one place; the first that matches a whole entity is its type. Lengths are bounded as by the standards for addresses, as each turn of a group takes stack.
 TYPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,126}\p{L}{2,63}+",
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{Ll}}{{1,63}}+(?:[ -]\p{{Lu}}\p{{Ll}}{{1,63}}+){{0,2}}(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A text without any of these holds no entity.
@@ -107,9 +109,20 @@ def core_of(kind: Column, entity: Column) -> Column:
     """What makes two mentions one entity: case, separators and honorifics aside."""
     digits = F.regexp_replace(entity, "[^0-9+]", "")
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda o: o.cast("int").cast("string")), ".")
-    name = F.regexp_replace(entity, rf"^{TITLE} ", "")
-    gender = reduce(lambda rest, g: F.when(entity.rlike(rf"^(?:{'|'.join(HONORIFICS[g])})\.? "), F.lit(g)).otherwise(rest), ("f", "m"), F.lit(""))
-    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", octets).when(kind == "name", F.concat(gender, F.lit("|"), name)).otherwise(digits)
+    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", octets).when(kind == "name", F.regexp_replace(entity, rf"^{TITLE} ", "")).otherwise(digits)
+
+
+def parts_of(kind: Column, entity: Column, core: Column) -> Column:
+    """Array of (kind, core) of what has a surrogate of its own: the words of a name, else the entity. Given names carry a gender, by the title or else by their ending."""
+    titled = reduce(lambda rest, g: F.when(entity.rlike(rf"^(?:{'|'.join(HONORIFICS[g])})\.? "), F.lit(g)).otherwise(rest), ("f", "m"), F.lit(""))
+
+    def words(own: Column) -> Column:
+        gender = lambda w: F.when(titled != "", titled).when(w.rlike(FEMININE), F.lit("f")).otherwise(F.lit("m"))
+        given = lambda w: F.struct(F.lit("given").alias("kind"), F.concat(gender(w), F.lit("|"), w).alias("core"))
+        last = lambda w: F.struct(F.lit("last").alias("kind"), F.concat(F.lit("|"), w).alias("core"))
+        return F.transform(own, lambda w, i: F.when(i < F.size(own) - 1, given(w)).otherwise(last(w)))
+
+    return F.when(kind == "name", let(F.split(core, " "), words)).otherwise(F.array(F.struct(kind.alias("kind"), core.alias("core"))))
 
 
 def stream(key: Column, salt: str, seed: Column) -> Column:
@@ -206,29 +219,25 @@ def permuted_octets(ip: Column, key: Column) -> Column:
 
 
 def new_name(core: Column, key: Column, tweak: Column, table: Column) -> Column:
-    """As many words as the name has, by gender and script; each tweak joins one more surname, so there are always enough.
+    """A word of a name, by gender and script; each tweak joins one more word of the list, so there are always enough.
 
-    Without lists for its script a name's own letters are permuted, and each tweak joins such a name once more.
+    Without lists for its script a word's own letters are permuted, and each tweak joins such a word once more.
     """
     gender, name = F.substring_index(core, "|", 1), F.substring_index(core, "|", -1)
     own = F.transform(F.sequence(F.lit(0), tweak), lambda i: cased(name, permuted(F.lower(name), F.concat_ws("|", key, gender, i.cast("string")), "name", table)))
-    listed = let(stream(key, "name", core), lambda hexed: picked_name(core, hexed, tweak))
-    return F.when(name.rlike(r"[\p{IsLatin}\p{IsCyrillic}]"), listed).otherwise(F.concat(gender, F.lit("|"), F.array_join(own, "-")))
+    listed = let(stream(key, "name", core), lambda hexed: picked(gender, name, hexed, tweak))
+    return F.concat(gender, F.lit("|"), F.when(name.rlike(r"[\p{IsLatin}\p{IsCyrillic}]"), listed).otherwise(F.array_join(own, "-")))
 
 
-def picked_name(core: Column, hexed: Column, tweak: Column) -> Column:
-    gender, name = F.substring_index(core, "|", 1), F.substring_index(core, "|", -1)
-
-    def pick(words: list[str], i: Column | int) -> Column:
-        i = F.lit(i) if isinstance(i, int) else i
+def picked(gender: Column, name: Column, hexed: Column, tweak: Column) -> Column:
+    def pick(words: list[str], i: Column) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), (F.pmod(byte_at(hexed, i * 2) * 256 + byte_at(hexed, i * 2 + 1), F.lit(len(words))) + 1).cast("int"))
 
-    def script(lists: dict[str, list[str]]) -> Column:
-        first = F.when(gender == "f", pick(lists["f"], 0)).when(gender == "m", pick(lists["m"], 0)).otherwise(pick(lists["f"] + lists["m"], 0))
-        lasts = F.array_join(F.transform(F.sequence(F.lit(1), tweak + 1), lambda i: pick(lists["last"], i)), "-")
-        return F.when(name.rlike(r"[ -]"), F.concat_ws(" ", first, lasts)).otherwise(lasts)
+    def script(lists: dict[str, list[str]], i: Column) -> Column:
+        return F.when(gender == "f", pick(lists["f"], i)).when(gender == "m", pick(lists["m"], i)).otherwise(pick(lists["last"], i))
 
-    return F.concat(gender, F.lit("|"), F.when(name.rlike(r"\p{IsCyrillic}"), script(NAMES["cyrillic"])).otherwise(script(NAMES["latin"])))
+    cyrillic = name.rlike(r"\p{IsCyrillic}")
+    return F.array_join(F.transform(F.sequence(F.lit(0), tweak), lambda i: F.when(cyrillic, script(NAMES["cyrillic"], i)).otherwise(script(NAMES["latin"], i))), "-")
 
 
 def surrogate(kind: Column, core: Column, tweak: Column, secret: str) -> Column:
@@ -261,14 +270,19 @@ def formatted(kind: Column, entity: Column, core: Column) -> Column:
     digits = F.regexp_replace(core, "[^0-9]", "")
     dealt = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(entity, rf"^{TITLE} ", 0)
-    return F.when(kind == "email", email).when(kind == "ip", core).when(kind == "name", F.concat(title, F.substring_index(core, "|", -1))).otherwise(dealt)
+    return F.when(kind == "email", email).when(kind == "ip", core).when(kind == "name", F.concat(title, core)).otherwise(dealt)
 
 
 def entities_of(text: Column) -> Column:
-    """Array of (entity, kind, core), in order, leftmost and non-overlapping."""
+    """Array of (entity, kind, parts), in order, leftmost and non-overlapping."""
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     typed = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    return F.transform(typed, lambda e: F.struct(e["entity"], e["kind"], core_of(e["kind"], e["entity"]).alias("core")))
+    return F.transform(typed, lambda e: F.struct(e["entity"], e["kind"], parts_of(e["kind"], e["entity"], core_of(e["kind"], e["entity"])).alias("parts")))
+
+
+def parts_in(text: Column) -> Column:
+    """Array of (kind, core) of all entities."""
+    return F.flatten(F.transform(entities_of(text), lambda e: e["parts"]))
 
 
 def tweaks(docs: DataFrame, secret: str, text: str) -> DataFrame:
@@ -278,12 +292,13 @@ def tweaks(docs: DataFrame, secret: str, text: str) -> DataFrame:
 
 
 def resolved(docs: DataFrame, secret: str, text: str) -> DataFrame:
-    every = docs.select(F.explode(entities_of(F.col(text))).alias("e")).select("e.kind", "e.core").distinct()
+    every = docs.select(F.explode(parts_in(F.col(text))).alias("e")).select("e.kind", "e.core").distinct()
     every = materialize(every, "entities")
     entities = every.select("kind", F.col("core").alias("new"))
     given = every.withColumn("tweak", F.lit(0))
+    new = surrogate(F.col("kind"), F.col("core"), F.col("tweak"), secret)
     while True:
-        given = given.withColumn("new", surrogate(F.col("kind"), F.col("core"), F.col("tweak"), secret))
+        given = given.withColumn("new", new)
         given = materialize(given, "surrogates")
         # Of several that share a surrogate the one of least tweak, then core, keeps it.
         shared = given.groupBy("kind", "new").agg(F.min(F.struct("tweak", "core")).alias("keeps"), F.count("*").alias("n")).where("n > 1").select("kind", "new", "keeps")
@@ -295,36 +310,40 @@ def resolved(docs: DataFrame, secret: str, text: str) -> DataFrame:
         given = given.drop("new").join(clash, ["kind", "core"], "left").select("kind", "core", (F.col("tweak") + F.coalesce("again", F.lit(0))).alias("tweak"))
 
 
-def replace_personal_data(docs: DataFrame, secret: str = KEY, text: str = "text") -> DataFrame:
-    """The same rows and columns with texts rewritten, and `n_found`, how many entities each had.
+def replace_personal_data(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
+    """The same rows and columns with texts rewritten, and `n_found`, how many entities each had. `secret` keys all surrogates.
 
     A null text stays null with n_found 0; texts without entities stay as they are. Equal texts are rewritten
     alike, so repeated rows stay equal, and one entity reads the same in every text of any table under one
     secret and set of entities. An existing column n_found is replaced; an empty table gives no rows.
     """
     need = tweaks(docs.select(text), secret, text)
+    # All columns travel as one, so that none can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"))
     n = need.count()
-    body = F.col(text)
     if n > TWEAKED:
         # By the text's digest, as what a text holds follows from it alone.
-        sha = F.sha2(body, 256)
-        held = docs.select(sha.alias("_sha"), F.explode(entities_of(body)).alias("e")).select("_sha", "e.kind", "e.core").distinct()
-        of = held.join(need, ["kind", "core"]).groupBy("_sha").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "core"), "tweak"))).alias("_tweaks"))
-        rows = docs.withColumn("_sha", sha).join(materialize(of, "tweaks"), "_sha", "left").drop("_sha")
-        known = F.col("_tweaks")
+        rows = rows.withColumn("sha", F.sha2("body", 256))
+        held = rows.select("sha", F.explode(parts_in(F.col("body"))).alias("e")).select("sha", "e.kind", "e.core").distinct()
+        of = held.join(need, ["kind", "core"]).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "core"), "tweak"))).alias("known"))
+        rows = rows.join(materialize(of, "tweaks"), "sha", "left")
+        known = F.col("known")
     else:
-        # At most TWEAKED entities, in the plan itself.
+        # At most TWEAKED entities, in the plan itself, so that no text is shuffled for them.
         table = {f"{r.kind}|{r.core}": r.tweak for r in need.collect()}
-        rows, known = docs, F.from_json(F.lit(json.dumps(table)), "map<string,int>") if table else None
+        known = F.from_json(F.lit(json.dumps(table)), "map<string,int>") if table else None
+
+    def part(p: Column) -> Column:
+        tweak = F.lit(0) if known is None else F.coalesce(F.try_element_at(known, F.concat_ws("|", p["kind"], p["core"])), F.lit(0))
+        return surrogate(p["kind"], p["core"], tweak, secret)
 
     def new(e: Column) -> Column:
-        tweak = F.lit(0) if known is None else F.coalesce(F.try_element_at(known, F.concat_ws("|", e["kind"], e["core"])), F.lit(0))
-        return let(surrogate(e["kind"], e["core"], tweak, secret), lambda core: formatted(e["kind"], e["entity"], core))
-
-    rows = rows.withColumn("_found", entities_of(body))
-    gaps = F.split(body, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("_found", new), lambda gap, own: F.concat(gap, F.coalesce(own, F.lit("")))), "")
-    count = F.coalesce(F.size("_found"), F.lit(0))
-    rows = rows.withColumn("n_found", F.greatest(count, F.lit(0)).cast("long"))
-    rows = rows.withColumn(text, F.when(F.col("n_found") > 0, joined).otherwise(body))
-    return rows.select(*docs.columns, *["n_found"] * ("n_found" not in docs.columns))
+        whole = lambda own: F.when(e["kind"] == "name", F.array_join(F.transform(own, lambda x: F.substring_index(x, "|", -1)), " ")).otherwise(own[0])
+        return let(let(F.transform(e["parts"], part), whole), lambda core: formatted(e["kind"], e["entity"], core))
+
+    rows = rows.withColumn("found", entities_of(F.col("body")))
+    gaps = F.split("body", F.lit(ANY), -1)
+    joined = F.array_join(F.zip_with(gaps, F.transform("found", new), lambda gap, own: F.concat(gap, F.coalesce(own, F.lit("")))), "")
+    count = F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0)).cast("long")
+    rows = rows.select("row", count.alias("n"), F.when(count > 0, joined).otherwise(F.col("body")).alias("body"))
+    return rows.select(*[F.col("n" if c == "n_found" else "body").alias(c) if c in ("n_found", text) else F.col("row")[c].alias(c) for c in dict.fromkeys([*docs.columns, "n_found"])])

@@ -39,7 +39,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's siftline.pii.key; the synthetic tables need no secret one."""
+    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("siftline.pii.key", "synthetic"))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

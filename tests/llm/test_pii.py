@@ -18,7 +18,7 @@ def luhn(number):
 
 def run(spark, texts, **how):
     rows = [(i, t, 9, "x") for i, t in enumerate(texts)]
-    got = replace_personal_data(spark.createDataFrame(rows, SCHEMA), **how).orderBy("doc_id").collect()
+    got = replace_personal_data(spark.createDataFrame(rows, SCHEMA), **{"secret": "test", **how}).orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == list(range(len(texts)))
     return got
 
@@ -125,4 +125,29 @@ def test_crowded_shape(spark):
 
 
 def test_empty(spark):
-    assert replace_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert replace_personal_data(spark.createDataFrame([], SCHEMA), "k").count() == 0
+
+
+def test_people_keep_their_names(spark):
+    texts = ["Mr John Smith", "Mr Smith", "Dr John Smith", "Mrs Mary Smith", "Prof Mary Ann Smith", "Mr John Doe"]
+    got = [r.text.split(" ") for r in run(spark, texts)]
+    john, smith = got[0][1:]
+    assert [g[-1] for g in got[:5]] == [smith] * 5 and got[2][1] == got[5][1] == john
+    assert john in pii.NAMES["latin"]["m"] and got[3][1] in pii.NAMES["latin"]["f"] and got[5][2] != smith
+    assert [len(g) for g in got] == [len(t.split(" ")) for t in texts]
+
+
+def test_long_and_hostile_texts(spark):
+    texts = ["x@" + "a." * 200_000, "write to λμ@νξ.gr now", "see __@--.xx", "a." * 100_000 + "b@c.de", "x@" + "a-" * 100_000 + ".com"]
+    got = run(spark, texts)
+    assert [r.n_found for r in got] == [0, 1, 1, 0, 0]
+    assert [r.text != t for r, t in zip(got, texts)] == [False, True, True, False, False]
+
+
+def test_clashing_columns(spark):
+    names = ["row", "body", "sha", "found", "known", "_found", "_sha", "_tweaks", "kind", "core", "n"]
+    rows = [(1, "to bob@example.org", *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = replace_personal_data(frame, "k")
+    assert got.columns == [*frame.columns, "n_found"]
+    assert [got.first()[n] for n in names] == names and got.first().n_found == 1
