@@ -16,7 +16,7 @@ from .operators.filters import apply_filters
 from .operators.sink import to_ndjson
 from .plans.config import DEFAULT, RuleSet, compile_config
 from .sources.code import LANGUAGES
-from .sources.extract import extract, from_text, read_files
+from .sources.extract import UNREADABLE, extract, from_text, read_files
 from .sources.paths import Resolver, allowed, language_column, nearest_root
 
 
@@ -30,6 +30,11 @@ def scan_files(files: DataFrame, rules: RuleSet, keep_filtered: bool = False, no
     return apply_filters(correlate(findings(candidates, rules), rules, time.time() if now is None else now), rules, keep_filtered)
 
 
+def unreadable(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """(file, error) of the files, as scan_files takes them, that no reader gets through; a scan goes on without them."""
+    return extract(files, rules).where(F.col("kind") == UNREADABLE).select("file", F.col("value").alias("error"))
+
+
 def scan_path(spark: SparkSession, root: str, rules: RuleSet, mode: str = "all", keep_filtered: bool = False, now: float | None = None) -> DataFrame:
     """Scan a file or folder. Names are judged before contents are read; mode is all, source or config."""
     if mode not in ("all", "source", "config"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
+from ..functions import text
 from ..functions.dialect import to_java
 from ..plans import patterns
 
@@ -32,13 +33,25 @@ def tokens_in(comment: Column) -> Column:
     return F.transform(every, lambda x: F.struct((F.instr(comment, x["token"]) - 1).alias("offset"), x["order"].alias("order"), x["id"].alias("id"), x["token"].alias("token")))
 
 
+def firsts(tokens: Column) -> Column:
+    """Of equal tokens the one of least order, where it first occurs; array_sort brings equal ones together."""
+    ordered = F.array_sort(F.transform(tokens, lambda x: F.struct(x["token"], x["order"], x["offset"], x["id"])))
+    return text.let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["token"] != x["token"])))
+
+
 def expand_comments(candidates: DataFrame) -> DataFrame:
-    """Candidates of kind comment, whose value is a comment, become one for each token, at the token's line; `found` is its pattern's id."""
-    others = candidates.where("kind <> 'comment'").withColumn("found", F.lit(None).cast("string"))
-    comments = candidates.where("kind = 'comment'").withColumn("t", F.explode(tokens_in(F.col("value"))))
-    rank = F.struct("t.order", "t.offset")
-    first = comments.groupBy("file", "lang", "seq", "mode", "kind", "rule", "path", "line", "name_path", "value_path", "name", "value", F.col("t.token").alias("token")).agg(F.min(rank).alias("rank"), F.min_by("t.id", rank).alias("found"))
-    before = F.substring(F.col("value"), F.lit(1), F.col("rank.offset"))
-    at = F.col("line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    placed = first.withColumn("line", at.cast("int")).withColumn("value", F.col("token"))
-    return others.withColumn("sub", F.lit(0)).unionByName(placed.withColumn("sub", F.col("rank.offset") * 1000 + F.col("rank.order")).select(*candidates.columns, "found", "sub"))
+    """Candidates of kind comment, whose value is a comment, become one for each token, at the token's line; `found` is its pattern's id.
+
+    Row by row, so that what makes the candidates runs once.
+    """
+    comment, line = F.col("value"), F.col("line")
+
+    def placed(x: Column) -> Column:
+        before = F.substring(comment, F.lit(1), x["offset"])
+        at = line + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+        return F.struct(at.cast("int").alias("line"), x["token"].alias("value"), x["id"].alias("found"), (x["offset"] * 1000 + x["order"]).alias("sub"))
+
+    other = F.array(F.struct(line.cast("int").alias("line"), comment.alias("value"), F.lit(None).cast("string").alias("found"), F.lit(0).alias("sub")))
+    each = F.when(F.col("kind") == "comment", F.transform(firsts(tokens_in(comment)), placed)).otherwise(other)
+    rows = candidates.withColumn("_each", F.explode(each))
+    return rows.select(*[F.col("_each")[c].alias(c) if c in ("line", "value") else F.col(c) for c in candidates.columns], F.col("_each.found").alias("found"), F.col("_each.sub").alias("sub"))

@@ -18,12 +18,18 @@ from . import code, formats
 
 #: How a file's findings are put in order: by line, path and hash; by line; as they were found.
 BY_PLACE, BY_LINE, AS_FOUND = 0, 1, 2
+#: The kind of the one row of a file that could not be read; no test makes it a finding.
+UNREADABLE = "unreadable"
 SCHEMA = "file string, lang string, seq int, mode int, kind string, rule int, path string, line int, name_path string, value_path string, name string, value string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
+#: Spark holds a file's bytes in one array.
+LONGEST_FILE = 2**31 - 64
+
 #: Formats by extension.
 EXTENSIONS = {"json": "json", "jsonc": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml", "config": "xml", "properties": "properties", "ini": "ini"}
 
+# What a line has to look like where a file as a whole cannot be read.
 JSONISH = r"""["']?([A-Za-z0-9_.-]*(secret|token|password|passwd|pwd|key|credential)[A-Za-z0-9_.-]*)["']?\s*[:=]\s*["']([^"']{8,})["']"""
 JSONISH_RE = re.compile(JSONISH.replace(r"\s", r"[\t\n\f\r ]"))
 YAML_RE = re.compile(r"^[\t\n\f\r ]*([A-Za-z0-9_.-]+)[\t\n\f\r ]*:[\t\n\f\r ]*(.+?)[\t\n\f\r ]*$")
@@ -177,21 +183,31 @@ def candidates_of(path: str, content: bytes, rules: RuleSet) -> Iterator[tuple]:
         yield (path, lang, seq, mode, kind, *rest)
 
 
+def rows_of(path: str, content: bytes, rules: RuleSet) -> list[tuple]:
+    """The candidates of a file, or one row with the error that its reading ended in."""
+    try:
+        return list(candidates_of(path, bytes(content), rules))
+    except Exception as e:  # whatever one file's bytes do to a parser
+        return [(path, language(path), 0, AS_FOUND, UNREADABLE, -1, "", 0, "", "", "", f"{type(e).__name__}: {e}")]
+
+
 def extract(files: DataFrame, rules: RuleSet) -> DataFrame:
-    """files: file, content (binary). One file is parsed whole by one task; a file that cannot be read in its format has its lines read."""
+    """files: file, content (binary). One file is parsed whole by one task; a file that cannot be read in its format has its lines read.
+
+    A file that no reader gets through does not stop the others: it leaves one row of kind UNREADABLE, with the error as its value.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["file"], batch["content"]):
-                rows = list(candidates_of(path, bytes(content), rules))
-                if rows:
+                if rows := rows_of(path, content, rules):
                     yield pd.DataFrame(rows, columns=COLUMNS)
 
     return files.select("file", "content").mapInPandas(run, SCHEMA)
 
 
 def read_files(spark, root: str) -> DataFrame:
-    """file, content of every file below root, or of the one file that it is."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """file, content of every file below root, or of the one file that it is. Files that vanish or fail while they are read, and those too large for one value, are skipped."""
+    df = spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreMissingFiles="true", ignoreCorruptFiles="true").load(root).where(F.col("length") < LONGEST_FILE)
     return df.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content")
 
 
