@@ -9,7 +9,7 @@ from siftline import queries
 from siftline.plans.config import DEFAULT, compile_config
 from siftline.sources import extract
 
-READERS = ["structured_json", "ini_fallback"]
+READERS = ["structured_json", "ini_fallback", "properties_lines"]
 
 
 @pytest.fixture(scope="module")
