@@ -9,7 +9,7 @@ from siftline import queries
 from siftline.plans.config import DEFAULT, compile_config
 from siftline.sources import extract
 
-READERS = ["structured_json", "ini_fallback", "properties_lines", "ini_sections", "xml_reader", "dotenv_lines"]
+READERS = ["structured_json", "ini_fallback", "properties_lines", "ini_sections", "xml_reader", "dotenv_lines", "json_reader"]
 
 
 @pytest.fixture(scope="module")
