@@ -45,17 +45,15 @@ def connection_string(value: Column) -> Column:
 
 def classify(value: Column) -> Column:
     """Why a value by itself is a secret, or an empty string."""
-    v = text.normalize(value)
-    return (
+    return text.let(text.normalize(value), lambda v: (
         F.when(jwt(v), "jwt_indicator").when(urls.has_secret_param(v), "url_secret_query_param").when(urls.has_credentials(v), "url_credentials")
         .when(private_key(v), "private_key_indicator").when(connection_string(v), "connection_string_secret_indicator").otherwise("")
-    )
+    ))
 
 
 def placeholder(value: Column, lang: Column) -> Column:
-    v = text.normalize(value)
-    at = F.when(lang.isin(*FILTERED), v.rlike(to_java(AT_VARIABLE))).otherwise(v.rlike(to_java(f"^{AT_VARIABLE}$")))
-    return v.rlike(to_java(PLACEHOLDER)) | at
+    at = lambda v: F.when(lang.isin(*FILTERED), v.rlike(to_java(AT_VARIABLE))).otherwise(v.rlike(to_java(f"^{AT_VARIABLE}$")))
+    return text.let(text.normalize(value), lambda v: v.rlike(to_java(PLACEHOLDER)) | at(v))
 
 
 def echoes_name(name: Column, value: Column) -> Column:
@@ -75,8 +73,7 @@ def stopword(value: Column, words: list[str]) -> Column:
 
 
 def ignored(value: Column, prefixes: list[str], patterns: list[str]) -> Column:
-    v = text.normalize(value)
-    return any_of([F.startswith(v, F.lit(p)) for p in prefixes]) | matches(v, patterns)
+    return text.let(text.normalize(value), lambda v: any_of([F.startswith(v, F.lit(p)) for p in prefixes]) | matches(v, patterns))
 
 
 def name_signals(name: Column, patterns: list[str], ignore: list[str]) -> Column:

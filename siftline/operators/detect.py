@@ -128,13 +128,15 @@ def finding_columns(df: DataFrame) -> DataFrame:
 def findings(candidates: DataFrame, rules: RuleSet) -> DataFrame:
     """candidates: kind, rule, name, value, lang, name_path, value_path and whatever says where; findings keep that."""
     name, value, lang, kind = (F.col(c) for c in ("name", "value", "lang", "kind"))
+    # Spark works a column out anew wherever a branch names it, so the normalised value is bound once.
     normal = text.normalize(value)
-    reason = (
-        F.when(kind.isin(*NAMED), by_rule(lambda r: named_reason(name, value, lang, r, rules.stopwords, kind), rules.rules))
-        .when(kind == "value", value_reason(name, normal, rules))
-        .when(kind == "comment", F.when(~suppressed(normal, rules.rules), F.concat(F.lit("sig:"), F.col("found"))))
-        .when(kind == "reason", F.when((normal != "") & ~p.any_of([signals(name, r) for r in rules.rules]) & ~suppressed(normal, rules.rules), F.nullif(p.classify(normal), F.lit(""))))
-    )
+    of_normal = text.let(normal, lambda v: (
+        F.when(kind == "value", value_reason(name, v, rules))
+        .when(kind == "comment", F.when(~suppressed(v, rules.rules), F.concat(F.lit("sig:"), F.col("found"))))
+        .when(kind == "reason", F.when((v != "") & ~p.any_of([signals(name, r) for r in rules.rules]) & ~suppressed(v, rules.rules), F.nullif(p.classify(v), F.lit(""))))
+    ))
+    reason = F.when(kind.isin(*NAMED), by_rule(lambda r: named_reason(name, value, lang, r, rules.stopwords, kind), rules.rules)).otherwise(of_normal)
     raw = F.when(kind.isin("value", "reason"), normal).otherwise(value)
-    rows = candidates.withColumn("reason", reason).where(F.col("reason").isNotNull()).withColumn("raw_value", raw).drop("value")
+    # Exploded rather than filtered: a filter would be pushed below, and the reason be worked out twice.
+    rows = candidates.withColumn("reason", F.explode(F.array_compact(F.array(reason)))).withColumn("raw_value", raw).drop("value")
     return finding_columns(rows)

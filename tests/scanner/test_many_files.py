@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from siftline import queries
+from siftline.operators import detect
 from siftline.plans.config import DEFAULT, compile_config
 from siftline.sources import extract
 
@@ -55,3 +56,18 @@ def test_half_of_a_surrogate_pair(spark):
     files = spark.createDataFrame([("a.json", bytearray(b'{"k": "x\\ud800y"}')), ("b.json", bytearray(b'{"k": "z"}'))], "file string, content binary")
     got = extract.extract(files, compile_config(DEFAULT)).where("kind = 'value'").select("file", "value").collect()
     assert sorted(map(tuple, got)) == [("a.json", "x�y"), ("b.json", "z")]
+
+
+SCANS = ["comment_tokens"]
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_scans(spark, folder, name):
+    assert Counter(map(tuple, queries.QUERIES[name](spark, folder).collect())) == wanted(folder, name)
+
+
+def test_a_value_is_normalised_once_and_judged_once(spark):
+    """Each prefix that is ignored had its own normalised value, and each reason was worked out in a filter and again above it."""
+    rows = spark.createDataFrame([], extract.SCHEMA + ", found string, sub int")
+    plan = detect.findings(rows, compile_config(DEFAULT))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sm://") <= 4 and plan.count("regexp_replace") < 200
