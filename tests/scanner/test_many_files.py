@@ -58,7 +58,7 @@ def test_half_of_a_surrogate_pair(spark):
     assert sorted(map(tuple, got)) == [("a.json", "x�y"), ("b.json", "z")]
 
 
-SCANS = ["comment_tokens", "correlation_rules"]
+SCANS = ["comment_tokens", "correlation_rules", "scan_config_files"]
 
 
 @pytest.mark.parametrize("name", SCANS)
