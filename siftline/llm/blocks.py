@@ -25,23 +25,29 @@ FAN_IN = 16
 
 def usable(vectors: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
     """(id, v): one row for each id, without null ids and null, empty, or non-finite vectors. Of rows with one id the smallest vector stays."""
-    v = F.col(vector).cast("array<double>")
+    # Single precision stays what it is; the rest becomes double.
+    kind = vectors.select(F.col(vector)).schema[0].dataType.simpleString()
+    v = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad)
     rows = rows.where(F.exists(v, lambda x: x != 0)) if nonzero else rows
     return rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def blocks_of(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+def largest(rows: DataFrame) -> int:
+    """How many rows have vectors of the most frequent length."""
+    return rows.groupBy(F.size("v")).count().agg(F.max("count")).first()[0] or 0
+
+
+def blocks_of(rows: DataFrame, size: int, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> tuple[DataFrame, int]:
     """(block, dim, ids, matrix): ids ascend within a block; vectors of different lengths are in different blocks."""
-    counts = {r[0]: r[1] for r in rows.groupBy(F.size("v")).count().collect()} if rows.columns else {}
-    n = max(1, -(-max(counts.values(), default=0) // size))
+    n = max(1, -(-largest(rows) // size))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         matrix = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
-        return pa.table({"block": [key[0]], "dim": [key[1]], "ids": [t["id"].to_numpy().astype("<i8").tobytes()], "matrix": [matrix.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary())]))
+        return pa.table({"block": [key[0]], "dim": [key[1]], "ids": [t["id"].to_numpy().astype("<i8").tobytes()], "matrix": [encode(matrix.reshape(t.num_rows, -1))]}, schema=pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary())]))
 
     packed = rows.withColumn("block", block).withColumn("dim", F.size("v")).groupBy("block", "dim").applyInArrow(pack, "block int, dim int, ids binary, matrix binary")
     return packed, n
