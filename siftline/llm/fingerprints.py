@@ -27,14 +27,21 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
+def hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in found), "<u8", len(found))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    ones = np.zeros(64, "int64")
+    for a in range(0, len(h), STEP):
+        ones += np.unpackbits(h[a : a + STEP].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
+
+
 def simhash(found: list[bytes]) -> int:
     """The 64 bits that are set in over half of the shingles' XXH64 hashes."""
-    ones = np.zeros(64, "int64")
-    for a in range(0, len(found), STEP):
-        part = found[a : a + STEP]
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in part), "<u8", len(part))
-        ones += np.unpackbits(h.view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0]) if found else 0
+    return majority(hashes(found))
 
 
 def add_fingerprint(docs: DataFrame, size: int, text: str = "text", name: str = "fp") -> DataFrame:

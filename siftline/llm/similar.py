@@ -1,6 +1,9 @@
-"""Near-duplicate documents by wide SimHash fingerprints, verified on their word shingles.
+"""Near-duplicate documents by SimHash fingerprints, verified on their word shingles.
 
-Documents of similarity 0.8 differ in too many of 64 bits for any cheap probe. Here a document's distinct shingles
+First the 64-bit fingerprints of whole texts go through the generalised pigeonhole of simhash.py: thresholds by
+dynamic programming over estimated candidates, at two differing bits. What it links is verified on the shingles.
+
+Documents of similarity 0.8 differ in too many of 64 bits for any cheap probe, so wide fingerprints find the others. For them a document's distinct shingles
 are dealt by hash into classes of a few, and each class has a 64-bit SimHash of its own; together they are one wide
 fingerprint. Bits of one class depend on the same shingles, so each class is one partition of the generalised
 pigeonhole: an edit changes few classes, and the rest agree in all bits. A probed class has threshold 0, all others
@@ -21,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest
 
 from .common import bounded_batches, materialize, scratch_scope
 from .components import components
-from .fingerprints import SEED, shingles
+from .fingerprints import hashes, majority, shingles
+from .simhash import links as pigeonhole
 
 WORDS, SIMILARITY, PROBES = 5, 0.8, 12
 #: Shingles a class holds on average, at least; members of one value that are paired, others are compared in tiles.
@@ -36,8 +40,7 @@ BLOCKS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("mains", pa.i
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    found = set(shingles((text or "").encode(), words))
-    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in found), "<u8", len(found)))
+    return np.unique(hashes(shingles((text or "").encode(), words)))
 
 
 def probed_values(hashes: np.ndarray, probes: int) -> list[int]:
@@ -62,19 +65,31 @@ def probed_values(hashes: np.ndarray, probes: int) -> list[int]:
 
 
 def digests(docs: DataFrame, words: int, probes: int, text: str, key: str) -> DataFrame:
-    """(key, digest of the set of shingles, values of its probed classes)."""
+    """(key, digest of the set of shingles, fingerprint of the text, values of the set's probed classes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d1, d2, probed = [], [], []
+            d1, d2, fp, probed = [], [], [], []
             for t in batch.column(1):
-                own = shingle_set(t.as_py(), words)
+                every = hashes(shingles((t.as_py() or "").encode(), words))
+                fp.append(majority(every))
+                own = np.unique(every)
                 raw = own.tobytes()
                 d1.append(xxh3_64_intdigest(raw, 1) - (1 << 63))
                 d2.append(xxh3_64_intdigest(raw, 2) - (1 << 63))
                 probed.append(probed_values(own, probes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(probed, pa.list_(pa.int64()))], ["id", "d1", "d2", "probed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.array(fp, "u8").view("i8")), pa.array(probed, pa.list_(pa.int64()))], ["id", "d1", "d2", "fp", "probed"])
+
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(run, "id long, d1 long, d2 long, fp long, probed array<bigint>")
+
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(run, "id long, d1 long, d2 long, probed array<bigint>")
+def few_bits(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: representatives of the links that join all fingerprints of sets (rep, fp) at two differing bits or fewer."""
+    heads = materialize(sets.groupBy("fp").agg(F.min("rep").alias("head")), "heads")
+    same = sets.join(heads, "fp").select("rep", "head")
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}"))
+    near = pigeonhole(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select("head_a", "head_b")
+    both = same.union(near).toDF("x", "y").where("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def met(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,12 +218,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMI
     Rows that repeat a key count with each of their texts, and come back once.
     """
     rows = materialize(digests(bounded_batches(docs), words, probes, text, key), "digests")
-    # Probed values follow from the set of shingles.
-    sets = materialize(rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.any_value("probed").alias("probed")), "sets")
+    # Probed values follow from the set of shingles; the fingerprint counts repeats, and of several the smallest stands.
+    sets = materialize(rows.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.any_value("probed").alias("probed")), "sets")
     # One key may stand for several sets, if rows repeat it.
     keys = materialize(sets.select(F.col("rep").alias("id"), F.explode("probed").alias("value")).distinct(), "probed")
     few, many = met(keys)
-    pairs = materialize(few.union(led(many)).distinct(), "pairs")
+    pairs = materialize(few.union(led(many)).union(few_bits(sets.select("rep", "fp"))).distinct(), "pairs")
     involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct(), "involved")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
