@@ -18,6 +18,8 @@ CELLS = 1 << 16
 BATCH_ROWS = 1000
 _scopes: list[list[tuple[DataFrame, str]]] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Below file:// only: Hadoop's checked local files start a chmod process for each file and its checksum, and such a child has its JVM's memory until it is one.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**PLAIN_FILES).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
