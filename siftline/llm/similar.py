@@ -30,6 +30,7 @@ from .common import bounded_batches, materialize, scratch_scope
 from .components import components
 from .fingerprints import hashes, majority, shingles
 from .simhash import links as pigeonhole
+from .words import forget
 
 WORDS, SIMILARITY, PROBES = 5, 0.8, 12
 #: Shingles a class holds on average, at least; members of one value that are paired, others are compared in tiles.
@@ -67,6 +68,7 @@ def probed_values(hashes: np.ndarray, probes: int) -> list[int]:
 def digests(docs: DataFrame, words: int, probes: int, text: str, key: str) -> DataFrame:
     """(key, digest of the set of shingles, fingerprint of the text, values of the set's probed classes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             d1, d2, fp, probed = [], [], [], []
             for t in batch.column(1):

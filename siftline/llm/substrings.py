@@ -23,6 +23,7 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
 from .common import bounded_batches, materialize
+from .words import forget
 
 SIZE, GRAM = 13, 3
 #: Occurrences of a super-k-mer that a map task lists; more go by the join.
@@ -205,6 +206,7 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, text: str = "text", key:
     buckets = max(BUCKETS, 3 * (total[0] or 0) // BUCKET)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         combiner = Combiner(size, buckets)
 
         def out():

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, scratch_scope
-from .words import WordCache, slices, sole
+from .words import WordCache, forget, slices, sole
 
 SAMPLE = 20_000
 #: Words of one generation of the cache; characters of new words that are scored at a time.
@@ -201,6 +201,7 @@ class Model:
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """text, toxic and fold, with the least and the greatest hash of the text's five-word shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ends = []
             for text in batch.column(0):
@@ -217,6 +218,7 @@ def counted(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << GRAM_BITS, 1 << WORD_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         grams, words = (np.zeros((2 * FOLDS, s), np.float32) for s in size)
         for batch in batches:
             for text, toxic, fold, vote in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -320,6 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
 def crossed(train: DataFrame, models: list[Odds]) -> DataFrame:
     """toxic, n (distinct words) and best (scores of all segments) by the model that has not seen the document's fold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         lexicons = [Lexicon([m], ENTRIES // FOLDS) for m in models]
         for batch in batches:
             out = []
@@ -355,6 +358,8 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 shown.append([{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": e} for (a, b, s), e in zip(found, expected.tolist()) if e < SIGNIFICANT])
                 scores.append(model.score(model.evidence(best, distinct)) if model.constant is None else model.constant)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(shown, passage)], [*keep, "score", "passages"])
+        # Of no use to the next task, which has models of its own.
+        forget()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double, passages array<struct<start:int,end:int,score:double,expected:double>>"])
     return docs.select("text", *keep).mapInArrow(run, schema)

@@ -11,12 +11,18 @@ _current: list = []
 def sole(cache: WordCache) -> WordCache:
     """The cache, after emptying the one that the same worker used before, if another: a worker serves stage after stage."""
     if not _current or _current[0] is not cache:
-        for other in _current:
-            other.young, other.old = {}, {}
+        forget()
         _current[:] = [cache]
     return cache
 
 
+def forget() -> None:
+    """Empty the cache that the worker used before, and let go of it: for tasks without one, and where one is of no use to the next task."""
+    for other in _current:
+        other.young, other.old = {}, {}
+    _current.clear()
+
+
 class WordCache:
     """word -> compute([word])[0], for many words at a time. What was not asked for during a whole generation is forgotten."""
 
