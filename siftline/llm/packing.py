@@ -10,6 +10,7 @@ its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,53 +26,88 @@ from .common import bounded_batches, gapless_rank, materialize
 from .words import WordCache, slices, sole
 
 CAPACITY, END_ID = 4096, 1
-#: Bytes of text that are tokenised at a time.
-CHUNK = 4 << 20
+#: Characters of text whose ids are put together at a time; parts that are tokenised in one call.
+CHUNK, CALL = 1 << 20, 4096
 
-#: Words of printable ASCII and Latin letters, and the parts into which the vocabulary splits them (fixed values).
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts of printable ASCII, Latin letters and ASCII white space, and the parts into which the vocabulary splits them in lower case (fixed values).
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \t-\r]*")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+#: What of a vocabulary has to agree with PARTS: normalisation, splitting, and tokens that say where a part ends.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+END = "</w>"
 
-_caches: dict[str, WordCache] = {}
 
+class IdCache(WordCache):
+    """Parts of plain texts, as str, and words of others, as UTF-8 without ASCII white space, to their ids as little-endian unsigned 32-bit.
 
-def id_bytes(path: str) -> WordCache:
-    """Words, as UTF-8 without ASCII white space, to their ids as little-endian unsigned 32-bit.
-
-    The vocabulary drops white space and no token spans it, so the ids of a text are those of its words.
+    The vocabulary drops white space and no token spans it, so the ids of a text are those of its words; nor does one
+    span two parts. Parts recur more often than words, which differ by capitals and punctuation.
     """
-    if path not in _caches:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
+        state = lambda x: json.loads(x.__getstate__()) if x else {}
+        split = state(tokenizer.pre_tokenizer).get("pretokenizers", [{}])[0]
+        self.path, self.whole, self.known = path, tokenizer, state(tokenizer.normalizer) == NORMALIZER and split.get("pattern") == SPLIT and tokenizer.model.end_of_word_suffix == END
+        if self.known:
+            # What these two do is done to a part already.
+            tokenizer.normalizer = None
+            tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.whole, self.ends = None, np.array([tokenizer.id_to_token(i).endswith(END) for i in range(tokenizer.get_vocab_size())])
+        self.parts = tokenizer
+        super().__init__(self.compute_ids)
+
+    def split(self, text: str) -> list:
+        """The keys whose ids, one after the other, are those of the text."""
+        return PARTS.findall(text.lower()) if self.known and "<|" not in text and PLAIN.fullmatch(text) else text.encode().split()
+
+    def compute_ids(self, keys: list) -> list[bytes]:
+        out: list[bytes] = [b""] * len(keys)
+        own: list[tuple[int, list[str]]] = []
+        rest: list[int] = []
+        for i, k in enumerate(keys):
+            parts = [k] if isinstance(k, str) else self.split(k.decode("utf-8", "replace"))
+            if isinstance(parts[0], str):
+                own.append((i, parts))
+            else:
+                rest.append(i)
+        for a in range(0, len(own), CALL):
+            some = own[a : a + CALL]
+            # All in one call: as each part ends in a token that says so, they can be told apart.
+            ids = np.array(self.parts.encode_batch_fast([" ".join(" ".join(p) for _, p in some)], add_special_tokens=False)[0].ids, "<u4")
+            last, ends = np.cumsum([len(p) for _, p in some]), 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != last[-1]:
+                rest += [i for i, _ in some]
+                continue
+            raw, begin = ids.tobytes(), 0
+            for (i, _), end in zip(some, ends[last - 1].tolist()):
+                out[i], begin = raw[begin:end], end
+        for a in range(0, len(rest), CALL):
+            some = rest[a : a + CALL]
+            texts = [k if isinstance(k, str) else k.decode("utf-8", "replace") for k in map(keys.__getitem__, some)]
+            for i, e in zip(some, self.tokenizer().encode_batch_fast(texts, add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def tokenizer(self):
+        """The vocabulary as it is, loaded where a word needs it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-        def slowly(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-        ends = np.array([tokenizer.id_to_token(i).endswith("</w>") for i in range(tokenizer.get_vocab_size())])
-
-        def compute(words: list[bytes]) -> list[bytes]:
-            texts = [w.decode("utf-8", "replace") for w in words]
-            plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t) and "<|" not in t]
-            rest = sorted(set(range(len(texts))).difference(plain))
-            out: list[bytes] = [b""] * len(texts)
-            if plain:
-                # All in one call: as each part of a word ends in a token that says so, the words can be told apart.
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
-                last = np.flatnonzero(ends[ids]) + 1
-                parts = np.cumsum([len(PARTS.findall(texts[i].lower())) for i in plain])
-                if len(last) == parts[-1]:
-                    raw, begin = ids.tobytes(), 0
-                    for i, end in zip(plain, (4 * last[parts - 1]).tolist()):
-                        out[i], begin = raw[begin:end], end
-                else:
-                    rest = list(range(len(texts)))
-            for i, own in zip(rest, slowly([texts[i] for i in rest])):
-                out[i] = own
-            return out
-
-        _caches[path] = WordCache(compute)
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
+
+
+_caches: dict[str, IdCache] = {}
+
+
+def id_bytes(path: str) -> IdCache:
+    if path not in _caches:
+        _caches[path] = IdCache(path)
     return sole(_caches[path])
 
 
@@ -86,7 +122,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids:
             sizes = [len(t or "") for t in bodies.to_pylist()]
             for a, b in slices(batch.num_rows, sizes, CHUNK):
                 out: list[tuple] = []
-                texts = [(t or "").encode().split() for t in bodies.slice(a, b - a).to_pylist()]
+                texts = [cache.split(t or "") for t in bodies.slice(a, b - a).to_pylist()]
                 words = [w for t in texts for w in t]
                 ids, at = cache.all(words), 0
                 for doc, n in zip(batch.column(0).slice(a, b - a).to_pylist(), map(len, texts)):

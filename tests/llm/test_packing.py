@@ -79,3 +79,29 @@ def test_words_alone_have_the_ids_of_their_text():
     for part in (words, words[:40], words[:3000]):
         want = tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
         assert np.frombuffer(b"".join(cache.all(part)), "<u4").tolist() == want
+
+
+def test_parts_are_kept_once():
+    """Words that differ by capitals and punctuation alone were tokenised one by one, and kept so."""
+    from siftline.llm.packing import IdCache
+
+    cache = IdCache(PATH)
+    texts = ["Stone, stone; STONE! (stone)", "stone's stone 42 \x0b stone\t'LL", "stöne <|endoftext|> ª\u0301", "", "</w> </W>x", "e\u0301 é É 中\u3000文 \x1c İ"]
+    tokenizer = Tokenizer.from_file(PATH)
+    for text in texts:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(cache.all(cache.split(text))), "<u4").tolist() == ids
+        if text == texts[1]:
+            assert len(cache.young) == 10
+
+
+def test_other_vocabularies_are_not_split(tmp_path):
+    """One that keeps capitals has its own ids for them."""
+    from siftline.llm.packing import IdCache
+
+    own = Tokenizer.from_file(PATH)
+    own.normalizer = None
+    own.save(str(tmp_path / "own.json"))
+    cache = IdCache(str(tmp_path / "own.json"))
+    got = np.frombuffer(b"".join(cache.all(cache.split("Stone it's A"))), "<u4").tolist()
+    assert got == own.encode("Stone it's A", add_special_tokens=False).ids != Tokenizer.from_file(PATH).encode("Stone it's A", add_special_tokens=False).ids
