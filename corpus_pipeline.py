@@ -6,12 +6,15 @@ the columns of documents. What a stage returns is written as Parquet and read ag
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import packing, pii, similar, substrings, toxicity
-from siftline.llm.common import materialize, table
+from siftline.llm.common import materialize, release, table
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,12 +47,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def fresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun after the executors have given back the heap that the one before it filled."""
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [
-    ("toxicity", toxic),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("personal_data", personal_data),
-    ("packing", pack),
+    ("toxicity", fresh(toxic)),
+    ("near_duplicates", fresh(near_duplicates)),
+    ("repeated_passages", fresh(repeated_passages)),
+    ("personal_data", fresh(personal_data)),
+    ("packing", fresh(pack)),
 ]
 
 #: SQL can express neither the learnt filter nor the surrogates; tests/llm/test_pipeline.py holds a brute-force version.

@@ -46,6 +46,15 @@ def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the heap that it took back to the system, which they else keep for as long as they live.
+
+    One task a core, which Spark deals to all executors that are free. For the time between stages: what they hold then is of no use later.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

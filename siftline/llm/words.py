@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
+
 #: Entries of one generation of a cache; longer words are computed each time. Two generations take about 90 MB at most.
 ENTRIES, LONGEST = 220_000, 64
 
@@ -21,6 +25,16 @@ def forget() -> None:
     for other in _current:
         other.young, other.old = {}, {}
     _current.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 class WordCache:
