@@ -157,3 +157,65 @@ def required_literal(pattern: str) -> str:
             runs.append("")
     best = max(runs, key=len)
     return best.lower() if len(best) >= 3 else ""
+
+
+def sure_literals(pattern: str) -> set[str]:
+    """Texts in lower case, of two characters or more, of which every match contains one; an empty set if none are sure."""
+    return _sure(pieces_of(pattern))
+
+
+def _sure(pieces: list[str]) -> set[str]:
+    opens = lambda x: x.startswith("(") and not x.endswith(")")
+    branches, depth = [[]], 0
+    for x in pieces:
+        depth += opens(x) - (x == ")")
+        if x == "|" and not depth:
+            branches.append([])
+        else:
+            branches[-1].append(x)
+    if len(branches) > 1:
+        each = [_sure(b) for b in branches]
+        return set().union(*each) if all(each) else set()
+    runs, found, i, pieces = [""], [], 0, list(pieces)
+    while i < len(pieces):
+        x, after = pieces[i], pieces[i + 1] if i + 1 < len(pieces) else ""
+        if opens(x):
+            depth, end = 1, i + 1
+            while depth:
+                depth += opens(pieces[end]) - (pieces[end] == ")")
+                end += 1
+            inner, after = pieces[i + 1 : end - 1], pieces[end] if end < len(pieces) else ""
+            if after in ("*", "+", "?") or after.startswith("{") or "|" in inner:
+                runs.append("")
+                if not is_optional(after):
+                    found.append(_sure(inner))
+                i = end
+            else:
+                pieces[i:end] = inner
+            continue
+        i += 1
+        literal = x[1] if len(x) == 2 and x[0] == "\\" and not x[1].isalnum() else x if len(x) == 1 and x not in ".^$*+?|)" else ""
+        if x.startswith("(?"):
+            continue
+        if literal and not is_optional(after):
+            runs[-1] += literal.lower()
+        if not literal or is_optional(after) or after == "+" or after.startswith("{"):
+            runs.append("")
+    found += [{r} for r in runs if len(r) >= 2]
+    return max((f for f in found if f), key=lambda f: (min(map(len, f)) >= 3, -len(f), min(map(len, f))), default=set())
+
+
+def any_literal(literals: set[str]) -> str:
+    """A Java pattern that finds any of the literals: branches by their first characters, as Java tries branches one by one."""
+    kept = sorted(x for x in literals if not any(y != x and y in x for y in literals))
+
+    def branch(words: list[str]) -> str:
+        if len(words) == 1:
+            return re.escape(words[0])
+        by: dict[str, list[str]] = {}
+        for w in words:
+            by.setdefault(w[0], []).append(w[1:])
+        out = [re.escape(c) + branch(rest) for c, rest in by.items()]
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    return branch(kept)

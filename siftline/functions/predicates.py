@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text, urls
-from .dialect import required_literal, to_java
+from .dialect import any_literal, required_literal, sure_literals, to_java
 
 #: Words that wrap an echoed name in a placeholder.
 FILLERS = (
@@ -105,7 +106,22 @@ def table_hits(value: Column, table: Column) -> Column:
 
 
 def first_pattern(value: Column, patterns: Patterns) -> Column:
-    """The id of the first (id, pattern, allowed) whose pattern is found and no allowed one is; null without any."""
+    """The id of the first (id, pattern, allowed) whose pattern is found and no allowed one is; null without any.
+
+    Most values hold none of the literals, one of which a match needs; a single pass over a value tells, and spares it the patterns.
+    """
+    sure = [sure_literals(p) for _, p, _ in patterns]
+    loose = first_of(value, patterns, [i for i, s in enumerate(sure) if not s])
+    if not any(sure):
+        return loose
+    return F.when(low(value).rlike(any_literal(set().union(*sure))), first_of(value, patterns, range(len(patterns)))).otherwise(loose)
+
+
+def first_of(value: Column, patterns: Patterns, places: Iterable[int]) -> Column:
+    """first_pattern() among the patterns at these places."""
+    patterns = [patterns[i] for i in places]
+    if not patterns:
+        return F.lit(None).cast("string")
     table, rest = literal_table(patterns)
     found = table_hits(value, table)
     hit = lambda i: value.rlike(to_java(patterns[i][1])) & (~matches(value, patterns[i][2]) if patterns[i][2] else F.lit(True))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; java.util.regex.Pattern's \\s is ASCII.
 BLANK = r"[\t\n\u000B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -17,12 +18,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def trim(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{BLANK}+|{BLANK}+$(?!\n)", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def normalize(value: Column) -> Column:
     """Without white space around it and then without quotes of either kind around it."""
-    return F.regexp_replace(trim(value), r"""^["']+|["']+\z""", "")
+    return F.btrim(trim(value), F.lit("\"'"))
 
 
 def chars(value: Column) -> Column:
@@ -70,15 +71,15 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity. A fold over a's characters strikes out, in b, the first equal one within reach."""
+    """Jaro similarity. A fold over a's characters, as far as b has them, strikes out, in b, the first equal one within reach."""
     reach = F.greatest(F.floor(F.greatest(F.length(a), F.length(b)) / 2).cast("int") - 1, F.lit(0))
+    shared = F.filter(F.transform(chars(a), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: F.contains(b, x["c"]))
 
-    def step(s: Column, c: Column) -> Column:
-        low = F.greatest(s["i"] - reach, F.lit(0))
-        return let(F.instr(F.substring(s["left"], low + 1, s["i"] + reach - low + 1), c), lambda at: F.struct(
-            (s["i"] + 1).alias("i"),
+    def step(s: Column, x: Column) -> Column:
+        low = F.greatest(x["i"] - reach, F.lit(0))
+        return let(F.instr(F.substring(s["left"], low + 1, x["i"] + reach - low + 1), x["c"]), lambda at: F.struct(
             F.when(at > 0, F.concat(F.substring(s["left"], F.lit(1), low + at - 1), F.lit("\0"), F.substring(s["left"], low + at + 1, F.length(b)))).otherwise(s["left"]).alias("left"),
-            F.when(at > 0, F.concat(s["met"], c)).otherwise(s["met"]).alias("met"),
+            F.when(at > 0, F.concat(s["met"], x["c"])).otherwise(s["met"]).alias("met"),
         ))
 
     def finish(s: Column) -> Column:
@@ -87,8 +88,8 @@ def jaro(a: Column, b: Column) -> Column:
         moved = F.size(F.filter(F.zip_with(chars(s["met"]), chars(struck), lambda x, y: x != y), lambda x: x))
         return F.when(m == 0, F.lit(0.0)).otherwise((m / F.length(a) + m / F.length(b) + (m - moved / 2) / m) / 3)
 
-    start = F.struct(F.lit(0).alias("i"), b.alias("left"), F.lit("").alias("met"))
-    folded = F.aggregate(chars(a), start, step, finish)
+    start = F.struct(b.alias("left"), F.lit("").alias("met"))
+    folded = F.aggregate(shared, start, step, finish)
     return F.when((a == "") & (b == ""), F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(folded)
 
 
@@ -103,6 +104,18 @@ def similarity(name: Column, value: Column) -> Column:
     return let(F.struct(F.lower(name).alias("a"), F.lower(normalize(value)).alias("b")), lambda s: F.greatest(levenshtein_similarity(s["a"], s["b"]), jaro_winkler(s["a"], s["b"])))
 
 
+def less_similar(name: Column, value: Column, most: float) -> Column:
+    """similarity(name, value) < most. Lengths and first characters tell, where even the most characters in common were too few."""
+    def of(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+        jaro_most = (ratio + 2) / 3
+        bound = F.when(F.left(a, F.lit(1)) == F.left(b, F.lit(1)), jaro_most + 0.4 * (1 - jaro_most)).otherwise(jaro_most)
+        return F.when((ratio > 0) & (bound < most - 1e-9), True).otherwise(F.greatest(levenshtein_similarity(a, b), jaro_winkler(a, b)) < most)
+
+    return let(F.struct(F.lower(name).alias("a"), F.lower(normalize(value)).alias("b")), of)
+
+
 def natural_language(value: Column) -> Column:
     """Four words or more, of which four in five, punctuation aside, are letters with inner joiners."""
     words = F.filter(F.split(value, f"{BLANK}+"), lambda w: w != "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +28,14 @@ SCHEMA = (
     "correlated array<string>"
 )
 
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+TYPES = [ARROW[c.split()[1]] for c in SCHEMA.split(", ")]
+#: What the fold adds, and what it decides by.
+ADDED, DECIDING = ("tags", "correlated"), ("primary", "partners", "pairs")
+#: Findings that go back to Spark at a time, or those of one file.
+BATCH_ROWS = 4096
+
 
 def matcher(m: Matcher | None) -> Column:
     if m is None:
@@ -41,6 +49,11 @@ def matcher(m: Matcher | None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def bits(tests: list[Column]) -> Column:
+    """A text with a 1 for each test that holds, and a 0 for each other: Python is sent few values, not arrays."""
+    return F.concat(*[F.when(t, "1").otherwise("0") for t in tests]) if tests else F.lit("")
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     """Add `ord`, from 0 within a file: by line, then path and hash, or as found, whichever the format asks for. No line comes last."""
     structured, plain = F.col("mode") == BY_PLACE, F.col("mode") == AS_FOUND
@@ -50,25 +63,28 @@ def in_order(findings: DataFrame) -> DataFrame:
 
 
 def with_masks(findings: DataFrame, rules: RuleSet) -> DataFrame:
-    """Add `primary` (a bit a rule), `partners` (one a partner of each rule), and `pairs`: for each rule over two findings, how far back it holds."""
+    """Add `primary` (a bit a rule), `partners` (one a partner of each rule), and `pairs`: a bit for each rule and each step back, if it is over two findings and holds there."""
     lagged = Window.partitionBy("file").orderBy("ord")
     flat = [m for c in rules.correlations for m in c.partners]
-    whole = F.struct(*[F.col(c) for c in findings.columns])
-    out = findings.withColumn("primary", F.array(*[matcher(c.match) for c in rules.correlations])).withColumn("partners", F.array(*[matcher(m) for m in flat]) if flat else F.array().cast("array<boolean>"))
+    out = findings.withColumn("primary", bits([matcher(c.match) for c in rules.correlations])).withColumn("partners", bits([matcher(m) for m in flat]))
     backs = range(1, rules.window + 1)
     if any(c.when for c in rules.correlations):
-        out = out.withColumn("_whole", whole)
+        asked: set[str] = set()
+        for c in rules.correlations:
+            if c.when:
+                compile_bool(c.when, pair_env(F.col, lambda n: asked.add(n) or F.col(n)))
+        out = out.withColumn("_whole", F.struct(F.lit(True).alias("_there"), *[F.col(c) for c in sorted(asked)]))
         for k in backs:
             out = out.withColumn(f"_back{k}", F.lag("_whole", k).over(lagged))
         tests = []
         for c in rules.correlations:
             if c.when:
-                tests.append(F.array(*[F.when(F.col(f"_back{k}").isNotNull(), compile_bool(c.when, pair_env(F.col, lambda n, k=k: F.col(f"_back{k}")[n]))).otherwise(False) for k in backs]))
+                tests += [F.col(f"_back{k}").isNotNull() & compile_bool(c.when, pair_env(F.col, lambda n, k=k: F.col(f"_back{k}")[n])) for k in backs]
             else:
-                tests.append(F.array(*[F.lit(False) for _ in backs]))
-        out = out.withColumn("pairs", F.array(*tests)).drop("_whole", *[f"_back{k}" for k in backs])
+                tests += [F.lit(False) for _ in backs]
+        out = out.withColumn("pairs", bits(tests)).drop("_whole", *[f"_back{k}" for k in backs])
     else:
-        out = out.withColumn("pairs", F.array().cast("array<array<boolean>>"))
+        out = out.withColumn("pairs", F.lit(""))
     return out
 
 
@@ -105,13 +121,13 @@ def fold(rows: list[dict], rules: RuleSet, now: float) -> list[dict]:
         before = range(max(0, i - rules.window), i)
         for r, c in enumerate(rules.correlations):
             if c.when:
-                chosen = [j for j in before if j not in taken and row["pairs"][r][i - j - 1]]
-            elif not row["primary"][r]:
+                chosen = [j for j in before if j not in taken and row["pairs"][r * rules.window + i - j - 1] == "1"]
+            elif row["primary"][r] != "1":
                 continue
             else:
                 chosen = []
                 for k in range(len(c.partners)):
-                    j = next((j for j in before if j not in taken and j not in chosen and rows[j]["partners"][offsets[r] + k]), None)
+                    j = next((j for j in before if j not in taken and j not in chosen and rows[j]["partners"][offsets[r] + k] == "1"), None)
                     if j is None:
                         chosen = []
                         break
@@ -131,26 +147,32 @@ def fold(rows: list[dict], rules: RuleSet, now: float) -> list[dict]:
 def correlate(findings: DataFrame, rules: RuleSet, now: float) -> DataFrame:
     """Top-level findings, in SCHEMA; partners are rendered into `correlated`. One file's findings meet in one task."""
     ready = with_masks(in_order(meta.with_meta(findings)), rules)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def folded(rows: list[dict]) -> list[dict]:
         for r in rows:
             r |= {k: "" for k in META if r[k] is None} | {"tags": [], "correlated": [], "own_lang": r["lang"], "lang": ""}
-        return [{n: r[n] for n in names} | {"lang": r["own_lang"], "seq": i} for i, r in enumerate(fold(rows, rules, now))]
+        return [r | {"lang": r["own_lang"], "seq": i} for i, r in enumerate(fold(rows, rules, now))]
+
+    def batch_of(done: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in done], t) for n, t in zip(NAMES, TYPES)], NAMES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        done: list[dict] = []
         for batch in batches:
-            done = []
-            for r in batch.to_dict("records"):
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                r = dict(zip(batch.schema.names, values))
                 if held and held[0]["file"] != r["file"]:
                     done += folded(held)
                     held = []
                 held.append(r)
-            if done:
-                yield pd.DataFrame(done, columns=names)
+            if len(done) >= BATCH_ROWS:
+                yield batch_of(done)
+                done = []
         if held:
-            yield pd.DataFrame(folded(held), columns=names)
+            done += folded(held)
+        if done:
+            yield batch_of(done)
 
     # The windows have brought each file's findings into one partition.
-    return ready.sortWithinPartitions("file", "ord").mapInPandas(run, SCHEMA)
+    return ready.sortWithinPartitions("file", "ord").select(*[n for n in NAMES if n not in ADDED], *DECIDING).mapInArrow(run, SCHEMA)

@@ -37,7 +37,7 @@ def likely(name: Column, value: Column, lang: Column, rule: Rule, stopwords: tup
     v = text.trim(value)
     tests = (v != "") & ~p.echoes_name(name, v)
     if rule.max_similarity > 0:
-        tests = tests & (text.similarity(name, v) < rule.max_similarity)
+        tests = tests & text.less_similar(name, v, rule.max_similarity)
     plain = ~p.placeholder(v, lang) & ~text.natural_language(v) & (F.octet_length(v) >= rule.min_length)
     if rule.min_entropy > 0:
         plain = plain & (text.entropy(text.normalize(v)) >= rule.min_entropy)

@@ -164,13 +164,13 @@ HOSTS = [
     ("tencent-scf", r"(?i)\bservice-[a-z0-9]+-[0-9]+\.[a-z0-9-]+\.apigw\.tencentcs\.com\b"),
 ]
 
-#: (id, expression): identifiers of accounts, likewise.
+#: (id, expression): identifiers of accounts, likewise. Values are tested first, as few look like it.
 GUID = 'value matches "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"'
 IDENTIFIERS = [
-    ("azure-subscription-id", f'"subscription" in words(name) && "id" in words(name) && {GUID}'),
-    ("azure-tenant-id", f'"tenant" in words(name) && "id" in words(name) && {GUID}'),
-    ("aws-account-id", '"aws" in words(name) && "account" in words(name) && value matches "^[0-9]{12}$"'),
-    ("gcp-billing-account-id", '"gcp" in words(name) && "account" in words(name) && value matches "(?i)^[0-9A-F]{6}-[0-9A-F]{6}-[0-9A-F]{6}$"'),
+    ("azure-subscription-id", f'{GUID} && "subscription" in words(name) && "id" in words(name)'),
+    ("azure-tenant-id", f'{GUID} && "tenant" in words(name) && "id" in words(name)'),
+    ("aws-account-id", 'value matches "^[0-9]{12}$" && "aws" in words(name) && "account" in words(name)'),
+    ("gcp-billing-account-id", 'value matches "(?i)^[0-9A-F]{6}-[0-9A-F]{6}-[0-9A-F]{6}$" && "gcp" in words(name) && "account" in words(name)'),
 ]
 
 VALUE_PATTERNS = [(id_, pattern, ALLOWED.get(id_, [])) for id_, pattern in CURATED + FURTHER]
