@@ -19,7 +19,7 @@ from .operators import detect, meta
 from .plans import patterns
 from .plans.config import DEFAULT, NAMES, compile_config
 from .sources import paths
-from .sources.extract import JSONISH, extract, from_text
+from .sources.extract import JSONISH, from_text, leaves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -276,7 +276,7 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read(files: DataFrame, file: str, body: str) -> DataFrame:
     """What the readers make of files: the name and value of every leaf, where it is."""
-    return extract(from_text(files, file, body), RULES).where("kind = 'value'").select("file", "line", "path", "name", "value")
+    return leaves(from_text(files, file, body))
 
 
 @query("""SELECT 'event/' || cast(event_id AS varchar) || '.json' AS file, CAST(1 AS INTEGER) AS line, '$.type' AS path, 'type' AS name, event_type AS value FROM events""")
