@@ -84,3 +84,17 @@ def test_leaves_of_a_table(spark):
     files = spark.createDataFrame([(k, bytearray(v)) for k, v in FILES.items()], "file string, content binary")
     wanted = extract.extract(files, compile_config(DEFAULT)).where("kind = 'value'").select("file", "line", "path", "name", "value")
     assert sorted(map(tuple, extract.leaves(files).collect())) == sorted(map(tuple, wanted.collect())) and extract.leaves(files).schema == wanted.schema
+
+
+XML = "<?xml version=\"1.0\"?>\n<!-- c\n--><app>\n  <x:add key=\"token\" y:value='a>b'/>\n  <password  \n on>\n0a1b &lt;<![CDATA[<c>]]></password>\n  <br>\n  <a b=c d/>\n</app>"
+
+
+def test_xml():
+    app = "\n  \n  \n  \n  \n"
+    assert list(formats.xml_events(XML)) == [
+        ("start", "/app", 3, ("app", [])), ("start", "/app/add", 4, ("add", [("key", "token"), ("value", "a>b")])), ("end", "/app/add", 4, ("add", "")),
+        ("start", "/app/password", 6, ("password", [("on", "on")])), ("end", "/app/password", 6, ("password", "\n0a1b <<c>")),
+        ("start", "/app/br", 8, ("br", [])), ("end", "/app/br", 8, ("br", "")), ("start", "/app/a", 9, ("a", [("b", "c"), ("d", "")])), ("end", "/app/a", 9, ("a", "")),
+        ("end", "/app", 3, ("app", app)),
+    ]
+    assert calls(lambda: list(formats.xml_events(XML))) < 230
