@@ -98,3 +98,13 @@ def test_xml():
         ("end", "/app", 3, ("app", app)),
     ]
     assert calls(lambda: list(formats.xml_events(XML))) < 230
+
+
+ENV = "# made\r\nexport CLIENT_ID=app-1\nBASE_URL=https://svc.net/api\nCLIENT_SECRET=\"0a1b0a1b0a1b0a1b\"  \nMODE=fast # no\nA-B: \"x\\\"${MODE}\\n\" C='$MODE'\n\nD=\\$MODE$CLIENT_ID\n"
+
+
+def test_dotenv():
+    tree, lines = formats.dotenv_tree(ENV)
+    assert tree == {"CLIENT_ID": "app-1", "BASE_URL": "https://svc.net/api", "CLIENT_SECRET": "0a1b0a1b0a1b0a1b", "MODE": "fast", "A-B": 'x"fast\n', "C": "$MODE", "D": "$MODEapp-1"}
+    assert lines == {"$.CLIENT_ID": 2, "$.BASE_URL": 3, "$.CLIENT_SECRET": 4, "$.MODE": 5, "$.D": 8}
+    assert calls(lambda: formats.dotenv_tree(ENV)) < 120
