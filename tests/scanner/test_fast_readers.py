@@ -108,3 +108,13 @@ def test_dotenv():
     assert tree == {"CLIENT_ID": "app-1", "BASE_URL": "https://svc.net/api", "CLIENT_SECRET": "0a1b0a1b0a1b0a1b", "MODE": "fast", "A-B": 'x"fast\n', "C": "$MODE", "D": "$MODEapp-1"}
     assert lines == {"$.CLIENT_ID": 2, "$.BASE_URL": 3, "$.CLIENT_SECRET": 4, "$.MODE": 5, "$.D": 8}
     assert calls(lambda: formats.dotenv_tree(ENV)) < 120
+
+
+INI = "[db3]\n; note\npassword = 0a1b\nhost: h # c\n\n[DEFAULT]\n\"a=b\" = `x\ny` z\nk = 'q' ; c\n[api]\ntoken=\"0a1b\"\nl = a\\\n  b\n[ db3 ]\nuser = u\n"
+
+
+def test_ini():
+    tree, lines = formats.ini_tree(INI)
+    assert tree == {"db3": {"password": "0a1b", "host": "h", "user": "u"}, "a=b": "x\ny", "k": "q", "api": {"token": "0a1b", "l": "ab"}}
+    assert lines == {"$.db3": 14, "$.db3.password": 3, "$.db3.host": 4, "$.DEFAULT": 6, '$.DEFAULT."a': 7, "$.DEFAULT.k": 9, "$.api": 10, "$.api.token": 11, "$.api.l": 12, "$.db3.user": 15}
+    assert calls(lambda: formats.ini_tree(INI)) < 250
