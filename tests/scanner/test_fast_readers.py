@@ -118,3 +118,8 @@ def test_ini():
     assert tree == {"db3": {"password": "0a1b", "host": "h", "user": "u"}, "a=b": "x\ny", "k": "q", "api": {"token": "0a1b", "l": "ab"}}
     assert lines == {"$.db3": 14, "$.db3.password": 3, "$.db3.host": 4, "$.DEFAULT": 6, '$.DEFAULT."a': 7, "$.DEFAULT.k": 9, "$.api": 10, "$.api.token": 11, "$.api.l": 12, "$.db3.user": 15}
     assert calls(lambda: formats.ini_tree(INI)) < 250
+
+
+def test_ini_lines():
+    assert list(formats.ini_lines("[db]\na = \"x\"\n# c\nplain\n= y\nb: c=d")) == [(1, "db", "", None), (2, "db", "a", "x"), (6, "db", "b", "c=d")]
+    assert calls(lambda: list(formats.ini_lines(INI))) < 100
