@@ -123,3 +123,13 @@ def test_ini():
 def test_ini_lines():
     assert list(formats.ini_lines("[db]\na = \"x\"\n# c\nplain\n= y\nb: c=d")) == [(1, "db", "", None), (2, "db", "a", "x"), (6, "db", "b", "c=d")]
     assert calls(lambda: list(formats.ini_lines(INI))) < 100
+
+
+PROPERTIES = "! note\ndb.password = ab\\\n   0a1b\nx:y\na\\ b\\=c d\\u0041\\t\n#c\n=z\nk\ne = \\\\\n"
+
+
+def test_properties():
+    tree, lines = formats.properties_tree(PROPERTIES)
+    assert tree == {"db.password": "ab0a1b", "x": "y", "a b=c": "dA\t", "k": "", "e": "\\"}
+    assert lines == {"$.db.password": 2, "$.x": 4, "$.a b=c": 5, "$.k": 8, "$.e": 9}
+    assert calls(lambda: formats.properties_tree(PROPERTIES)) < 120
